@@ -1,0 +1 @@
+"""Ranked, budget-packed span search over DataFrames of text."""
