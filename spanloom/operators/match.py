@@ -35,7 +35,7 @@ def line_table(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode("lines").alias("at", "text")).select("path", (F.col("at") + 1).cast("long").alias("line_no"), "text")
 
 
-def matching_lines(shown: str, regex: str) -> Column:
+def matching_lines(shown: Column | str, regex: str) -> Column:
     """The numbers of the lines that match, in order."""
     at = F.transform(shown, lambda x, i: F.when(x.rlike(regex), (i + 1).cast("long")))
     return F.filter(at, lambda n: n.isNotNull())
@@ -53,11 +53,12 @@ def scout(files: DataFrame, queries: list[Query]) -> DataFrame:
     """
     regex = scout_regex(queries)
     nul = first_nul()
-    whole = F.when(nul > 0, F.size(X.lines(F.substring(F.col("content"), F.lit(1), nul - 1)))).otherwise(F.size("lines"))
+    before = X.lines(F.substring(F.col("content"), F.lit(1), nul - 1))
+    text = F.when(nul == 1, F.array().cast("array<string>")).when(nul > 0, F.zip_with(before, F.slice("shown", 1, F.size(before)), lambda a, b: F.substring(b, F.lit(1), F.length(a)))).otherwise(F.col("shown"))
     # The scan of whole contents is cheap and spares most files the scan by line.
     anchored = any(c in q.pattern for q in queries for c in "^$\\[")
     files = files if anchored else files.filter(F.col("content").rlike(regex))
-    files = files.withColumn("found", F.filter(matching_lines("shown", regex), lambda n: n <= whole)).filter(F.size("found") > 0)
+    files = files.withColumn("found", matching_lines(text, regex)).filter(F.size("found") > 0)
     first = F.transform(F.slice("found", 1, T.HINT_LINES), lambda n: F.element_at("shown", n.cast("int")))
     files = files.withColumn("match_count", F.least(F.size("found"), F.lit(T.MATCH_CAP)))
     names = declared_names(first)

@@ -56,7 +56,7 @@ def list_tree(root: str, hidden: bool = False, no_ignore: bool = False, max_byte
         raise FileNotFoundError(f"no such path: {root}")
     rules, out, large = IgnoreRules(), [], 0
     for folder, dirs, files in os.walk(root):
-        here = os.path.relpath(folder, root).replace(os.sep, "/").removeprefix(".").removeprefix("/")
+        here = "" if (inner := os.path.relpath(folder, root).replace(os.sep, "/")) == "." else inner
         at = lambda name: f"{here}/{name}" if here else name  # noqa: B023, E731
         rules.read(here, os.path.join(folder, ".ignore"))
         if not no_ignore:
