@@ -29,6 +29,8 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 4 << 20
 #: Shares into which the rows of one digest are dealt for the join with its smallest id.
 SALTS = 32
+#: Of deflate, for archives and members.
+LEVEL = 6
 EPOCH = "2024-01-01T00:00:00Z"
 
 
@@ -99,8 +101,8 @@ def inflated(blob: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     return
 
 
-def _gzip(data: bytes, level: int = 1) -> bytes:
-    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+def _gzip(data: bytes) -> bytes:
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
@@ -109,7 +111,7 @@ def write_archives(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, raw, parts = TaskContext.get().partitionId(), 0, 0, []
-        z = zlib.compressobj(1, zlib.DEFLATED, 31)
+        z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
 
         def archive() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}"], pa.string()), pa.array([b"".join(parts) + z.flush()], pa.binary())], ["archive_id", "blob"])
@@ -121,7 +123,7 @@ def write_archives(rows: DataFrame) -> DataFrame:
                 raw += len(one)
                 if raw >= ARCHIVE_BYTES:
                     yield archive()
-                    n, raw, parts, z = n + 1, 0, [], zlib.compressobj(1, zlib.DEFLATED, 31)
+                    n, raw, parts, z = n + 1, 0, [], zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         if raw:
             yield archive()
 
