@@ -13,6 +13,7 @@ scores 1. Extra columns are ignored by score_quality.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ LABELLED, UNLABELLED, ROUNDS = 6000, 4000, 4
 #: Pseudo-labels of each class that a view may give in a round.
 GIVEN = 200
 THRESHOLD = 0.5
-META = 40
+META = 42
 HAS_WORD = re.compile(r"[^\W\d_]")
 
 
@@ -36,10 +37,10 @@ def page_features(text: str, lang: str | None, source: str | None, n_chars: int
     """Metadata and layout: nothing here depends on which words stand where."""
     out = np.zeros(META, np.float32)
     n = len(text) if n_chars is None else n_chars
-    lines = text.split("\n")
+    lines, words = text.split("\n"), text.split()
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     share = lambda mask: float(mask.mean()) if len(raw) else 0.0
-    out[:10] = (
+    out[:12] = (
         np.log1p(max(0, n)) / 10,
         np.log1p(len(lines)) / 5,
         np.log1p(len(text) / len(lines)) / 8,
@@ -50,9 +51,11 @@ def page_features(text: str, lang: str | None, source: str | None, n_chars: int
         share((raw > 32) & (raw < 48) | (raw > 57) & (raw < 65) | (raw > 122) & (raw < 127)),
         share(raw >= 128),
         n < 200,
+        len(set(words)) / max(1, len(words)),
+        sum(map(operator.eq, words, words[1:])) / max(1, len(words)),
     )
-    out[10 + np.frombuffer((lang or "").encode()[:2].ljust(2), np.uint8).sum() % 10] = 1
-    out[20 + sum((source or "").encode()) % 20] = 0.3
+    out[12 + np.frombuffer((lang or "").encode()[:2].ljust(2), np.uint8).sum() % 10] = 1
+    out[22 + sum((source or "").encode()) % 20] = 0.3
     return out
 
 
@@ -64,12 +67,14 @@ class CoTrained:
     page: np.ndarray | None = None
     text_scale: tuple[float, float] = (1.0, 0.0)
     page_scale: tuple[float, float] = (1.0, 0.0)
+    #: Log odds of the good class among labelled rows.
+    prior: float = 0.0
 
     def probabilities(self, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the text view, the page view, and both: their mean logit."""
+        """Of the text view, the page view, and both: as views that are independent given the class, so the prior counts once."""
         a = self.text_scale[0] * linear.margin(x, self.text) + self.text_scale[1]
         b = self.page_scale[0] * linear.margin(z, self.page) + self.page_scale[1]
-        return linear.sigmoid(a), linear.sigmoid(b), linear.sigmoid((a + b) / 2)
+        return linear.sigmoid(a), linear.sigmoid(b), linear.sigmoid(a + b - self.prior)
 
 
 def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, ux: np.ndarray, uz: np.ndarray, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained:
@@ -92,7 +97,7 @@ def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, ux: np.ndarray, uz: np
             low, high = max(1, int(given * (1 - rate))), max(1, int(given * rate))
             to.update({i: 0.0 for i in order[:low] if m[i] < -1} | {i: 1.0 for i in order[-high:] if m[i] > 1})
     cx, cz, cy = (x[held], z[held], y[held]) if held.any() else (x, z, y)
-    return CoTrained(text, page, linear.platt(linear.margin(cx, text), cy), linear.platt(linear.margin(cz, page), cy))
+    return CoTrained(text, page, linear.platt(linear.margin(cx, text), cy), linear.platt(linear.margin(cz, page), cy), float(np.log((y == 1).sum() / (y == 0).sum())))
 
 
 FIELDS = ("text", "lang", "source", "n_chars")
