@@ -12,6 +12,10 @@ from ..plans.options import Options
 from ..plans.patterns import Query, scout_regex
 
 
+#: What every line that declares something has.
+MAY_DECLARE = rf"\b(?:{'|'.join(sorted(T.KEYWORDS))})\b|[{{=]"
+
+
 def path_filters(files: DataFrame, options: Options) -> DataFrame:
     """Filters on paths alone, which come before any content is looked at."""
     path = F.col("path")
@@ -60,6 +64,7 @@ def scout(files: DataFrame, queries: list[Query]) -> DataFrame:
     files = files if anchored else files.filter(F.col("content").rlike(regex))
     files = files.withColumn("found", matching_lines(text, regex)).filter(F.size("found") > 0)
     first = F.transform(F.slice("found", 1, T.HINT_LINES), lambda n: F.element_at("shown", n.cast("int")))
+    first = F.filter(first, lambda x: x.rlike(MAY_DECLARE))
     files = files.withColumn("match_count", F.least(F.size("found"), F.lit(T.MATCH_CAP)))
     names = declared_names(first)
     return files.withColumn("names", names).withColumn("declaration_hint", F.exists("names", lambda n: F.coalesce(n.rlike(regex), F.lit(False)))).drop("names")

@@ -47,8 +47,11 @@ def extract(files: DataFrame, queries: list[Query], options: Options) -> DataFra
     return rank.scored(spans.drop("lines", "shown"), queries)
 
 
-def gathered(scouted: DataFrame, queries: list[Query], options: Options) -> DataFrame:
-    """Spans of as many of the best files as the budget asks for: the best 256 first, then more while it asks on."""
+def gathered(files: DataFrame, scouted: DataFrame, queries: list[Query], options: Options) -> DataFrame:
+    """Spans of as many of the best files as the budget asks for: the best 256 first, then more while it asks on.
+
+    The chosen paths meet the files before these are split into lines, so no other file is scanned a second time.
+    """
     if options.max_tokens is None:
         return extract(scouted, queries, options)
     n = len(queries)
@@ -58,7 +61,8 @@ def gathered(scouted: DataFrame, queries: list[Query], options: Options) -> Data
     while True:
         best = [r["path"] for r in narrow.orderBy(*match.candidate_order()).limit(size).select("path").collect()]
         ranks = scouted.sparkSession.createDataFrame(list(zip(best, range(1, len(best) + 1), strict=True)), "path string, candidate_rank int")
-        spans = extract(scouted.join(F.broadcast(ranks), "path"), queries, options).cache()
+        chosen = match.candidates(match.with_lines(files.join(F.broadcast(ranks), "path"), options), queries)
+        spans = extract(chosen, queries, options).cache()
         if len(best) < size:
             break
         spent = {r["query_index"]: r["t"] for r in spans.groupBy("query_index").agg(F.sum("tokens").alias("t")).collect()}
@@ -79,7 +83,7 @@ def search(corpus: DataFrame, patterns: list[str], options: Options = Options())
     if options.paths is not None:
         files = keep_paths(files, list(options.paths))
     scouted = match.candidates(match.scout(match.with_lines(files, options), queries), queries)
-    spans = rank.shadowed(gathered(scouted, queries, options))
+    spans = rank.shadowed(gathered(files, scouted, queries, options))
     unmatched: list[str] = []
     if len(queries) > 1:
         spans = spans.cache()
