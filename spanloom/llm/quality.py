@@ -7,7 +7,7 @@ every document is scored by the two calibrated views together.
 
 The models are fitted on a bounded sample: at most LABELLED labelled and UNLABELLED other rows, chosen by the hash of
 their id. All documents are scored, whole. A null or empty text scores 0. Rows with null ids can't be labelled but are
-scored. Repeated labels of an id count once, by their mean. Without labels of both classes every text that has a word
+scored. Repeated labels of an id count once, by their mean; of rows that share an id one is learned from. Without labels of both classes every text that has a word
 scores 1. Extra columns are ignored by score_quality.
 """
 
@@ -118,8 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> CoTrained
     known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__sl_id")).agg(F.avg("quality").alias("y"))
     some = known.orderBy(F.xxhash64("__sl_id"), "__sl_id").limit(LABELLED)
     rows = docs.select(F.col(id_col).alias("__sl_id"), *_columns(docs))
-    others = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__sl_id")).orderBy(F.xxhash64("__sl_id", F.lit(1)), "__sl_id").limit(LABELLED + UNLABELLED)
-    others = others.join(F.broadcast(some), "__sl_id", "left_anti").limit(UNLABELLED).withColumn("y", F.lit(-1.0))
+    by_hash = (F.xxhash64("__sl_id", F.lit(1)), F.col("__sl_id"))
+    others = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__sl_id")).orderBy(*by_hash).limit(LABELLED + UNLABELLED).distinct()
+    others = others.join(F.broadcast(some), "__sl_id", "left_anti").orderBy(*by_hash).limit(UNLABELLED).withColumn("y", F.lit(-1.0))
     picked = rows.join(F.broadcast(some.unionByName(others)), "__sl_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> CoTrained
             yield pa.RecordBatch.from_arrays([b.column("__sl_id"), b.column("y"), pa.array([r.tobytes() for r in both], pa.binary())], ["id", "y", "f"])
 
     kind = rows.schema["__sl_id"].dataType.simpleString()
-    got = picked.select("__sl_id", "y", *FIELDS).mapInArrow(features, f"id {kind}, y double, f binary").toArrow()
+    # One row for each id, so that an id which many rows share can't fill the driver.
+    got = picked.select("__sl_id", "y", *FIELDS).mapInArrow(features, f"id {kind}, y double, f binary").groupBy("id", "y").agg(F.min("f").alias("f")).toArrow()
     if not got.num_rows:
         return CoTrained()
     order = sorted(range(got.num_rows), key=lambda i, ids=got.column("id").to_pylist(), f=got.column("f").to_pylist(): (ids[i], f[i]))
