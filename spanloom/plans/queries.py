@@ -414,7 +414,7 @@ def comments_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.spans.select(fetch.anchor(F.col("path"), F.col("start_line"), F.col("end_line")).alias("anchor"), joined("match_lines").alias("match_lines"))
 
 
-@query("SELECT * FROM (VALUES ('src/auth.py:5-6', true, 2.193147), ('vendor/copy.py:2-3', true, 1.193147), ('src/api.py:1-7', false, 2.598612), ('src/auth.py:9-11', false, 2.193147), ('src/lib.rs:7-9', false, 2.193147), ('web/app.ts:1-9', false, 2.193147)) v(anchor, is_declaration, score)")
+@query("SELECT * FROM (VALUES ('src/auth.py:5-6', true, 2.193147::DOUBLE), ('vendor/copy.py:2-3', true, 1.193147), ('src/api.py:1-7', false, 2.598612), ('src/auth.py:9-11', false, 2.193147), ('src/lib.rs:7-9', false, 2.193147), ('web/app.ts:1-9', false, 2.193147)) v(anchor, is_declaration, score)")
 def search_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Golden: declarations first, a copy one level deeper loses a point, an import's window merges with the function it meets."""
     found = search(code(spark), ["validate_token"], Options(word=True, max_tokens=1000))
