@@ -18,18 +18,23 @@ from .patterns import Query, compile_patterns
 
 @dataclass
 class Result:
-    """spans in their order; patterns that no span answered, named only if there are several patterns; counts of the run."""
+    """spans in their order; patterns that no span answered, named only if there are several patterns; what the counts are taken from."""
 
     spans: DataFrame
     queries: list[Query]
     options: Options
     unmatched: list[str] = field(default_factory=list)
-    matching_files: int | None = None
+    scouted: DataFrame | None = None
+    gathered: DataFrame | None = None
 
     @property
     def exit_status(self) -> int:
         return 1 if self.spans.isEmpty() else 0
 
+    def counts(self) -> tuple[int, int]:
+        """How many files matched, and how many of them gave spans to choose from."""
+        return self.scouted.select("path").count(), self.gathered.select("path").distinct().count()
+
 
 def extract(files: DataFrame, queries: list[Query], options: Options) -> DataFrame:
     """The spans of candidate files, scored but for the depth penalty."""
@@ -83,7 +88,8 @@ def search(corpus: DataFrame, patterns: list[str], options: Options = Options())
     if options.paths is not None:
         files = keep_paths(files, list(options.paths))
     scouted = match.candidates(match.scout(match.with_lines(files, options), queries), queries)
-    spans = rank.shadowed(gathered(files, scouted, queries, options))
+    found = gathered(files, scouted, queries, options)
+    spans = rank.shadowed(found)
     unmatched: list[str] = []
     if len(queries) > 1:
         spans = spans.cache()
@@ -102,4 +108,4 @@ def search(corpus: DataFrame, patterns: list[str], options: Options = Options())
     else:
         spans = pack.pack(spans, options.max_tokens, options.cap, options.min_references, order)
     shown = [c for c in COLUMNS if c in spans.columns and (c != "why" or options.explain)]
-    return Result(spans.orderBy(*order).select(*shown), queries, options, unmatched)
+    return Result(spans.orderBy(*order).select(*shown), queries, options, unmatched, scouted, found)
