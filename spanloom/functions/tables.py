@@ -55,6 +55,8 @@ TEST_STEMS = ["spec", "test"]
 MAX_FILE_BYTES = 8 << 20
 MATCH_CAP, HINT_LINES = 512, 16
 CHUNK, BATCH, OVERSAMPLE, TOKENS_PER_LINE = 256, 8, 4, 12
+#: Candidates whose paths the driver may gather; with more, all are ranked and read where they are.
+WIDE = 16384
 ORPHAN_CONTEXT, MAX_TOKENS, MAX_PER_FILE = 6, 2000, 3
 WEIGHTS = {"matches": 1.0, "terms": 1.5, "path": 1.0, "depth": 1.0}
 #: The published split of a text into pieces, without its look-ahead.

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
+from ..functions.durable import cut
+from .rank import placed
+
+#: Spans that one task folds at once; of more, the driver sees so many at a time.
+AT_ONCE = 1 << 16
 
 
 def budget_gate(spans: DataFrame, n_queries: int, max_tokens: int) -> DataFrame:
@@ -41,21 +47,53 @@ def fill(rows: list[tuple[str, int, bool]], max_tokens: int, cap: int, barred: f
     return out
 
 
-def fill_with_references(rows: list[tuple[str, int, bool]], max_tokens: int, cap: int, floor: int) -> list[int]:
-    """As fill, but the last declarations taken give way until floor other spans fit; if that can't be, the plain fill."""
-    plain = taken = fill(rows, max_tokens, cap)
+def fill_from(fetch: Callable[[int, int], list], max_tokens: int, cap: int, barred: frozenset[int] = frozenset()) -> list[tuple[int, bool]]:
+    """As fill, (place, is_declaration) of what is taken, for lists of any length.
+
+    fetch(after, most): the next AT_ONCE rows of (place, path, tokens, is_declaration) beyond a place that cost most tokens or less; others
+    would be passed over.
+    """
+    used, taken, out, at = 0, Counter(), [], 0
+    while True:
+        rows = fetch(at, max_tokens - used)
+        for place, path, tokens, declares in rows:
+            if place in barred or cap and taken[path] >= cap or used + tokens > max_tokens:
+                continue
+            out.append((place, declares))
+            taken[path] += 1
+            used += tokens
+            if used >= max_tokens:
+                return out
+        if len(rows) < AT_ONCE:
+            return out
+        at = rows[-1][0]
+
+
+def with_floor(refill: Callable[[frozenset[int]], list[tuple[int, bool]]], floor: int) -> list[int]:
+    """The last declarations taken give way until floor other spans fit; if that can't be, the plain fill."""
+    plain = taken = refill(frozenset())
     barred: frozenset[int] = frozenset()
-    while sum(not rows[i][2] for i in taken) < floor:
-        declarations = [i for i in taken if rows[i][2]]
+    while sum(not declares for _, declares in taken) < floor:
+        declarations = [i for i, declares in taken if declares]
         if not declarations:
-            return plain
+            taken = plain
+            break
         barred |= {declarations[-1]}
-        taken = fill(rows, max_tokens, cap, barred)
-    return taken
+        taken = refill(barred)
+    return [i for i, _ in taken]
+
+
+def fill_with_references(rows: list[tuple[str, int, bool]], max_tokens: int, cap: int, floor: int) -> list[int]:
+    return with_floor(lambda barred: [(i, rows[i][2]) for i in fill(rows, max_tokens, cap, barred)], floor)
+
 
+def pack(spans: DataFrame, max_tokens: int, cap: int, min_references: int, order: list, few: bool | None = None) -> DataFrame:
+    """The spans that fit, in a total order. The gate keeps them few, but where a pattern never gets its share they may be all.
 
-def pack(spans: DataFrame, max_tokens: int, cap: int, min_references: int, order: list) -> DataFrame:
-    """The spans that fit. Their input is bounded by the gate: some times the budget and one batch of files."""
+    few: whether AT_ONCE holds them, where that is known.
+    """
+    if not (spans.count() <= AT_ONCE if few is None else few):
+        return pack_many(spans, max_tokens, cap, min_references, order)
     w = Window.partitionBy(F.lit(0)).orderBy(*order)
     ranked = spans.withColumn("place", F.row_number().over(w))
     narrow = ranked.select("place", "path", "tokens", "is_declaration")
@@ -69,6 +107,18 @@ def pack(spans: DataFrame, max_tokens: int, cap: int, min_references: int, order
     return ranked.join(kept, "place", "left_semi")
 
 
+def pack_many(spans: DataFrame, max_tokens: int, cap: int, min_references: int, order: list) -> DataFrame:
+    """As pack, with the fold on the driver over bounded pages of the ranked spans."""
+    ranked = cut(placed(spans, [], order, "place"))
+
+    def fetch(after: int, most: int) -> list:
+        page = ranked.filter((F.col("place") > after) & (F.col("tokens") <= most)).orderBy("place").limit(AT_ONCE)
+        return [tuple(r) for r in page.select("place", "path", "tokens", "is_declaration").collect()]
+
+    kept = with_floor(lambda barred: fill_from(fetch, max_tokens, cap, barred), min_references)
+    return ranked.join(spans.sparkSession.createDataFrame([(p,) for p in kept], "place long"), "place", "left_semi")
+
+
 def capped(spans: DataFrame, cap: int, order: list) -> DataFrame:
     """Without a budget, the first spans of each file."""
     if not cap:

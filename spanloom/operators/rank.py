@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import text as X
+from ..functions.durable import cut
 from ..plans.patterns import Query
 
 
@@ -37,11 +38,31 @@ def span_order() -> list[Column]:
     return [F.desc("is_declaration"), F.desc("score"), F.asc("path"), F.asc("start_line")]
 
 
-def interleaved(spans: DataFrame, n_queries: int) -> DataFrame:
-    """With lane, a span's rank within its query; order by (lane, query_index). One query needs no lanes."""
+def placed(rows: DataFrame, groups: list[str], order: list[Column], out: str) -> DataFrame:
+    """rows with out, each one's place (from 1) within its group by a total order; a group may be of any size.
+
+    Rows are dealt by range and numbered within their part; the parts' counts, a row for each part and group, give what
+    comes before. The dealing is checkpointed, so that numbers and counts see the same parts.
+    """
+    parts = cut(rows.repartitionByRange(*map(F.asc, groups), *order).withColumn("__sl_part", F.spark_partition_id()))
+    counts = parts.groupBy("__sl_part", *groups).agg(F.count("*").alias("__sl_n"))
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__sl_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.withColumn("__sl_base", F.coalesce(F.sum("__sl_n").over(before), F.lit(0))).drop("__sl_n")
+    within = F.row_number().over(Window.partitionBy("__sl_part", *groups).orderBy(*order))
+    met = parts.withColumn(out, within).join(bases, ["__sl_part", *groups])
+    return met.withColumn(out, F.col(out) + F.col("__sl_base")).drop("__sl_part", "__sl_base")
+
+
+def interleaved(spans: DataFrame, n_queries: int, bounded: bool = False) -> DataFrame:
+    """With lane, a span's rank within its query; order by (lane, query_index). One query needs no lanes.
+
+    bounded: the spans are few, as a budget makes them, and one window may hold a lane.
+    """
     if n_queries == 1:
         return spans.withColumn("lane", F.lit(0))
-    return spans.withColumn("lane", F.row_number().over(Window.partitionBy("query_index").orderBy(*span_order())))
+    if bounded:
+        return spans.withColumn("lane", F.row_number().over(Window.partitionBy("query_index").orderBy(*span_order())))
+    return placed(spans, ["query_index"], span_order(), "lane")
 
 
 def output_order(n_queries: int) -> list[Column]:

@@ -231,7 +231,7 @@ def span_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ISLANDS} SELECT path, start_line, query_index::INT AS query_index, row_number() OVER (PARTITION BY query_index ORDER BY round(score, 9) DESC, path, start_line)::INT AS lane FROM sc")
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.interleaved(spans(spark, sf_dir)[0].withColumn("score", F.round("score", 9)), 3).select("path", "start_line", "query_index", "lane")
+    return rank.interleaved(spans(spark, sf_dir)[0].withColumn("score", F.round("score", 9)), 3).select("path", "start_line", "query_index", F.col("lane").cast("int").alias("lane"))
 
 
 @query(f"WITH {ISLANDS} SELECT path, start_line, end_line, text FROM sc QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, start_line) <= 2")

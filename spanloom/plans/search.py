@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions import text as X
 from ..functions.declare import with_declarations
+from ..functions.durable import cut
 from ..operators import match, pack, rank, regions
 from ..sources.corpus import keep_paths
 from .options import Options
@@ -55,27 +56,35 @@ def extract(files: DataFrame, queries: list[Query], options: Options) -> DataFra
 def gathered(files: DataFrame, scouted: DataFrame, queries: list[Query], options: Options) -> DataFrame:
     """Spans of as many of the best files as the budget asks for: the best 256 first, then more while it asks on.
 
-    The chosen paths meet the files before these are split into lines, so no other file is scanned a second time.
+    The best paths are ranked once for two such steps, and meet the files before these are split into lines; the files
+    chosen are kept, so that a second step scans nothing. A pattern that never gets its share asks for all files: beyond
+    T.WIDE of them, paths are no longer gathered and all candidates are ranked and read where they are.
     """
     if options.max_tokens is None:
         return extract(scouted, queries, options)
     n = len(queries)
     share = max(1, T.OVERSAMPLE * options.max_tokens // n)
-    size = T.CHUNK
+    size, reach = T.CHUNK, 0
     narrow = scouted.select("path", "declaration_hint", "match_count", "best_path")
-    while True:
-        best = [r["path"] for r in narrow.orderBy(*match.candidate_order()).limit(size).select("path").collect()]
-        ranks = scouted.sparkSession.createDataFrame(list(zip(best, range(1, len(best) + 1), strict=True)), "path string, candidate_rank int")
-        chosen = match.candidates(match.with_lines(files.join(F.broadcast(ranks), "path"), options), queries)
+    while size <= T.WIDE:
+        if size > reach:
+            reach = 4 * size
+            best = [r["path"] for r in narrow.orderBy(*match.candidate_order()).limit(reach).select("path").collect()]
+            ranks = scouted.sparkSession.createDataFrame(list(zip(best, range(1, len(best) + 1), strict=True)), "path string, candidate_rank int")
+            kept = files.join(F.broadcast(ranks), "path").cache()
+        chosen = match.candidates(match.with_lines(kept.filter(F.col("candidate_rank") <= size), options), queries)
         spans = extract(chosen, queries, options).cache()
-        if len(best) < size:
-            break
+        if len(best) < reach and len(best) <= size:
+            return pack.budget_gate(spans, n, options.max_tokens)
         spent = {r["query_index"]: r["t"] for r in spans.groupBy("query_index").agg(F.sum("tokens").alias("t")).collect()}
         if all(spent.get(q, 0) >= share for q in range(n)):
-            break
+            return pack.budget_gate(spans, n, options.max_tokens)
         spans.unpersist()
         size *= 4
-    return pack.budget_gate(spans, n, options.max_tokens)
+        if size > reach:
+            kept.unpersist()
+    ranks = rank.placed(narrow, [], match.candidate_order(), "candidate_rank").select("path", "candidate_rank")
+    return cut(pack.budget_gate(cut(extract(scouted, queries, options).join(ranks, "path")), n, options.max_tokens))
 
 
 COLUMNS = ["path", "start_line", "end_line", "symbol", "kind", "match_lines", "match_columns", "is_declaration", "depth", "query", "tokens", "score", "why", "text"]
@@ -102,10 +111,12 @@ def search(corpus: DataFrame, patterns: list[str], options: Options = Options())
     if options.kinds:
         spans = spans.filter(F.col("kind").isin(*options.kinds))
     n = len(queries)
-    spans, order = rank.interleaved(spans, n), rank.output_order(n)
+    # A budget keeps spans few unless a pattern never gets its share; then, or without one, a lane may be of any size.
+    few = options.max_tokens is not None and spans.count() <= pack.AT_ONCE
+    spans, order = rank.interleaved(spans, n, few), rank.output_order(n)
     if options.max_tokens is None:
         spans = pack.capped(spans, options.cap, order)
     else:
-        spans = pack.pack(spans, options.max_tokens, options.cap, options.min_references, order)
+        spans = pack.pack(spans, options.max_tokens, options.cap, options.min_references, order, few)
     shown = [c for c in COLUMNS if c in spans.columns and (c != "why" or options.explain)]
     return Result(spans.orderBy(*order).select(*shown), queries, options, unmatched, scouted, found)

@@ -73,6 +73,23 @@ def test_min_references():
     assert pack.fill_with_references(rows, 10, 0, 2) == [0, 1]
 
 
+def test_any_size(spark, monkeypatch):
+    """The plans for more candidates and spans than one task or the driver may hold give what the plain ones give."""
+    from spanloom.functions import tables as T
+
+    text = lambda i: "".join(f"def {'rare' if i == 7 else 'handler'}_{i}_{k}(x):\n    return {'handler' * (k % 3)}\n\n" for k in range(1 + i % 5))
+    files = spark.createDataFrame([(f"m{i}.py", text(i)) for i in range(24)], "path string, content string").repartition(3)
+    cases = [(["handler", "rare"], Options(max_tokens=400)), (["handler", "none"], Options(max_tokens=300, min_references=2)), (["handler", "x"], Options(max_tokens=None))]
+    run = lambda p, o: [(f"{r.path}:{r.start_line}-{r.end_line}", r["query"], r["tokens"]) for r in search(files, p, o).spans.collect()]
+    plain = [run(p, o) for p, o in cases]
+    for wide, chunk, page in ((16384, 8, 1 << 16), (0, 8, 7)):
+        monkeypatch.setattr(T, "WIDE", wide)
+        monkeypatch.setattr(T, "CHUNK", chunk)
+        monkeypatch.setattr(pack, "AT_ONCE", page)
+        for (p, o), want in zip(cases, plain, strict=True):
+            assert run(p, o) == want, (wide, page, p)
+
+
 def test_hostile_content(spark):
     odd = [("a.py", "x\0def token(): pass\n"), ("b.py", "token\r\ntoken"), ("c.py", ""), ("d.py", "\ufefftoken = 1"), ("e.py", "\n" * 2000 + "token"), ("f.py", "token " * 50_000), ("g.py", "日本 token\n")]
     files = spark.createDataFrame(odd, "path string, content string")
