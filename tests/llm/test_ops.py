@@ -206,6 +206,17 @@ def test_quality(spark):
     assert quality.score_quality(table(spark, []), model).count() == 0
 
 
+def test_quality_of_a_repeated_id(spark, monkeypatch):
+    """An id that most rows share is learned from once; all its rows are scored, and the fit agrees over partitions."""
+    docs = [(i, f"some words {i}" + " !!" * (i % 2), "en", "s") for i in range(40)] + [(5, f"other words {i}", "en", "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    seen, train = [], quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda x, z, y, ux, uz: (seen.append((len(y), len(ux))), train(x, z, y, ux, uz))[1])
+    models = [quality.fit(table(spark, docs).repartition(n), labels) for n in (1, 5)]
+    assert seen == [(30, 10)] * 2 and np.array_equal(models[0].text, models[1].text)
+    assert quality.score_quality(table(spark, docs), models[0]).count() == len(docs)
+
+
 def test_language(spark):
     rng = random.Random(4)
     words = {"en": "the and with of this", "de": "der und mit von dies", "fr": "le et avec du ce", "es": "el y con del esto", "xx": "zzo qqi kka"}
