@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import mixing, packing, quality, secret_scan, simhash
+from spanloom.llm import jaccard, mixing, packing, quality, secret_scan
 from spanloom.llm.common import materialize
 from spanloom.llm.queries import vocabulary
 
@@ -16,10 +16,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the first row of the group. Rows get numbers, as ids may be null or repeat."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more): the first row of the group. Rows get numbers, as ids may be null or repeat."""
     rows = materialize(docs.withColumn("__sl_row", F.monotonically_increasing_id()), "pipeline-rows")
-    groups = simhash.near_duplicates(rows, "__sl_row")
-    kept = groups.filter(F.col("__sl_row") == F.col("component_id")).select("__sl_row")
+    kept = jaccard.first_copies(rows, "__sl_row")
     return rows.join(kept, "__sl_row", "left_semi").select(*docs.columns)
 
 

@@ -11,7 +11,7 @@ from urllib.parse import quote
 import numpy as np
 import pytest
 
-from spanloom.llm import langid, media, mixing, packing, quality, queries, secret_scan, sharding, simhash, topk, warc
+from spanloom.llm import jaccard, langid, media, mixing, packing, quality, queries, secret_scan, sharding, simhash, topk, warc
 
 LONG = "word " * 60_000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, key int, shard string, fp string, label string, skey int, row string"
@@ -327,3 +327,29 @@ def test_contract_regexes():
                 if len(m[2] if k == 0 else m[0]) >= (12, 18, 16)[k]:
                     want.append((m.start(), k, m.end()))
         assert secret_scan.scan(text) == sorted(want)
+
+
+def test_pipeline_near_copies(spark):
+    """Against brute force: all pairs of similarity 0.8 or more, in buckets of any size; a hot group and a common passage among them."""
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, base, texts = text(40), text(200), []
+    for _ in range(25):
+        one = text(rng.randrange(30, 250))
+        texts += [one, list(one), *([rng.choice(words) if rng.random() < rate else w for w in one] for rate in (0.005, 0.01, 0.02, 0.03, 0.04))]
+    texts += [[rng.choice(words) if rng.random() < 0.01 else w for w in base] for _ in range(60)] + [text(60) + passage + text(60) for _ in range(40)]
+    texts = [" ".join(t) for t in texts] + ["", None, " ", "two words", "Two  words", "two"]
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for k in range(i):
+            if 5 * len(a & sets[k]) >= 4 * len(a | sets[k]) and root[i] != root[k]:
+                root = [min(root[i], root[k]) if r in (root[i], root[k]) else r for r in root]
+    want = {i for i, r in enumerate(root) if i == r}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in rows_of(p.drop_near_copies(spark, df, ""))} == want
+    assert {r["doc_id"] for r in rows_of(jaccard.first_copies(df, "doc_id", bucket=1000))} == want
