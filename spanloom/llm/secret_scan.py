@@ -17,6 +17,7 @@ import bisect
 import bz2
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
@@ -36,8 +37,11 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f
 ONE_ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]+\}|\\x[0-9A-Fa-f]{2}|&\#[^;]+;")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PLAIN64 = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
-#: No layer may inflate beyond this many bytes: a bomb ends its own branch and nothing else.
-MAX_INFLATED = 64 << 20
+#: Inflated layers are scanned in chunks of so many bytes, of which the next repeats OVERLAP at least; decoders give PIECE at once.
+CHUNK, OVERLAP, PIECE = 16 << 20, 1 << 20, 1 << 20
+RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
+#: Streams packed into each other without base64 between; only one that unpacks to itself goes so deep.
+DEEPEST = 100
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -120,23 +124,85 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         yield _replaced(layer, pieces)
 
 
-def _inflated(data: bytes) -> bytes | None:
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_INFLATED)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_INFLATED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_INFLATED)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_INFLATED)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:MAX_INFLATED]
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
+def _decoder(head: bytes) -> tuple[object, int | None] | None:
+    """A decoder of the format that head begins, and how much input it may be given at once where its output can't be limited."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31), None
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(), None
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor(), None
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(), None
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj(), 512
     return None
 
 
+def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """All members, streams or frames of a compressed stream, decoded one after another, and what follows them as it is."""
+    data = b""
+    while True:
+        while len(data) < 6 and (more := next(pieces, None)) is not None:
+            data += more
+        if not data:
+            return
+        if (found := _decoder(data)) is None:
+            yield data
+            yield from pieces
+            return
+        decoder, most = found
+        try:
+            while not decoder.eof:
+                if not data and (data := next(pieces, b"")) == b"":
+                    if isinstance(decoder, type(zlib.decompressobj())):
+                        yield decoder.flush()
+                    return
+                if most:
+                    out, data = decoder.decompress(data[:most]), data[most:]
+                    data = (decoder.unused_data + data) if decoder.eof else data
+                elif isinstance(decoder, type(zlib.decompressobj())):
+                    out = decoder.decompress(data, PIECE)
+                    data = decoder.unused_data if decoder.eof else decoder.unconsumed_tail
+                else:
+                    out, data = decoder.decompress(data, PIECE), b""
+                    while not decoder.eof and not decoder.needs_input:
+                        yield out
+                        out = decoder.decompress(b"", PIECE)
+                    data = decoder.unused_data if decoder.eof else b""
+                if out:
+                    yield out
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            return
+
+
+def _inflated(pieces: Iterator[bytes], depth: int = 0) -> Iterator[bytes]:
+    """The stream, unpacked as often as it begins as a compressed one."""
+    head = b""
+    while len(head) < 6 and (more := next(pieces, None)) is not None:
+        head += more
+    again = itertools.chain([head] if head else [], pieces)
+    if depth == DEEPEST or _decoder(head) is None:
+        yield from again
+    else:
+        yield from _inflated(_members(again), depth + 1)
+
+
+def _chunks(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The stream to its end in chunks; each begins with the end of the one before, back to where its last base64 run begins."""
+    held, new, n = b"", [], 0
+    for piece in pieces:
+        new.append(piece)
+        n += len(piece)
+        if n >= CHUNK:
+            held = b"".join([held, *new])
+            yield held
+            cut = min(len(held.rstrip(RUN)), len(held) - OVERLAP)
+            held, new, n = held[max(0, cut, len(held) - CHUNK) :], [], 0
+    if n:
+        yield b"".join([held, *new])
+
+
 def _as_text(data: bytes) -> str | None:
     try:
         text = data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8")
@@ -157,13 +223,18 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                 data = base64.b64decode(body + "=" * (-len(body) % 4))
             except binascii.Error:
                 continue
-            packed, seen = False, {data}
-            while (inner := _inflated(data)) is not None and inner not in seen:
-                packed, data = True, inner
-                seen.add(inner)
+            if _decoder(data):
+                packed = False
+                for chunk in _chunks(_inflated(iter([data]))):
+                    # A chunk may begin or end inside a character.
+                    if (text := _as_text(chunk) or _as_text(chunk.decode("utf-8", "ignore").encode())) is not None:
+                        packed = True
+                        yield Layer(text, [(0, m.start(), m.end(), False)], layer)
+                if packed:
+                    break
             if (text := _as_text(data)) is None:
                 continue
-            if packed or not text.isascii():
+            if not text.isascii():
                 parts = [(0, m.start(), m.end(), False)]
             else:
                 parts = [(i, m.start() + i // 3 * 4, min(m.start() + i // 3 * 4 + 4, m.end()), False) for i in range(0, len(text), 3)]
@@ -171,22 +242,28 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             break
 
 
+def _unwrapped(layer: Layer) -> Iterator[Layer]:
+    for decode in (_percent, _escapes, _base64):
+        yield from decode(layer)
+
+
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans of a text, and all of them with those that unwrapping adds."""
     base = scan(text)
-    spans, todo, seen = set(base), [Layer(text)], set()
+    # Depth first, one layer at a time: the chunks of a bomb are never held together.
+    spans, seen, todo = set(base), set(), [_unwrapped(Layer(text))]
     while todo:
-        layer = todo.pop()
-        for decode in (_percent, _escapes, _base64):
-            for inner in decode(layer):
-                mark = (hashlib.blake2b(inner.text.encode("utf-8", "replace"), digest_size=16).digest(), inner.root_span(0, len(inner.text)) if inner.text else None)
-                if not inner.text or mark in seen:
-                    continue
-                seen.add(mark)
-                todo.append(inner)
-                for start, kind, end in scan(inner.text):
-                    lo, hi = inner.root_span(start, end)
-                    spans.add((lo, kind, hi))
+        if (inner := next(todo[-1], None)) is None:
+            todo.pop()
+            continue
+        mark = (hashlib.blake2b(inner.text.encode("utf-8", "replace"), digest_size=16).digest(), inner.root_span(0, len(inner.text)) if inner.text else None)
+        if not inner.text or mark in seen:
+            continue
+        seen.add(mark)
+        todo.append(_unwrapped(inner))
+        for start, kind, end in scan(inner.text):
+            lo, hi = inner.root_span(start, end)
+            spans.add((lo, kind, hi))
     return base, sorted(spans)
 
 

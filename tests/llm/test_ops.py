@@ -1,8 +1,10 @@
 """Every operator on awkward rows, against brute force where SQL can't say what is right."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -10,6 +12,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+import zstandard
 
 from spanloom.llm import jaccard, langid, media, mixing, packing, quality, queries, secret_scan, sharding, simhash, topk, warc
 
@@ -67,6 +70,22 @@ def test_cycle_and_bomb():
     assert secret_scan.find_secrets("%25" * 1000)[1] == []
 
 
+SECRET = b"password = hunter2hunter2"
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_secrets_of_all_members(pack):
+    spans = lambda data: secret_scan.find_secrets(base64.b64encode(data).decode())[1]
+    n = lambda data: len(base64.b64encode(data))
+    for data in (pack(b"a") + pack(SECRET), pack(pack(b"a") + pack(b"b") + pack(SECRET)), pack(b"a b ") + SECRET):
+        assert spans(data) == [(0, 0, n(data))], pack
+
+
+def test_secrets_far_into_a_layer():
+    data = base64.b64encode(gzip.compress("é ".encode() * (23 << 20) + b" " + SECRET, 1)).decode()
+    assert secret_scan.find_secrets(data)[1] == [(0, 0, len(data))]
+
+
 def test_media_round_trip(spark):
     got = rows_of(media.read_back(media.store_texts(table(spark))))
     assert len(got) == len(ROWS)
