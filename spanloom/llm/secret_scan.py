@@ -12,7 +12,6 @@ ignored by scan_secrets and kept by redact_secrets.
 from __future__ import annotations
 
 import base64
-import binascii
 import bisect
 import bz2
 import hashlib
@@ -21,7 +20,7 @@ import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
@@ -36,6 +35,7 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]+\}|\\x[0-9A-Fa-f]{2}|&\#[^;]+;")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+SEPARATOR = re.compile(r"[+/_-]")
 PLAIN64 = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 #: Inflated layers are scanned in chunks of so many bytes, of which the next repeats OVERLAP at least; decoders give PIECE at once.
 CHUNK, OVERLAP, PIECE = 16 << 20, 1 << 20, 1 << 20
@@ -212,34 +212,50 @@ def _as_text(data: bytes) -> str | None:
     return text if text and bad * 10 <= len(text) else None
 
 
+def _decoded(body: str, at: Sequence[int], layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """The layers of base64 characters and whether each reads as a whole; at: the place of each in the layer above."""
+    bare = body.rstrip("=").replace("-", "+").replace("_", "/")
+    bare = bare[: len(bare) - (len(bare) % 4 == 1)]
+    data = base64.b64decode(bare + "=" * (-len(bare) % 4))
+    whole = [(0, at[0], at[-1] + 1, False)]
+    if _decoder(data):
+        packed = False
+        for chunk in _chunks(_inflated(iter([data]))):
+            # A chunk may begin or end inside a character.
+            if (text := _as_text(chunk) or _as_text(chunk.decode("utf-8", "ignore").encode())) is not None:
+                packed = True
+                yield Layer(text, whole, layer), True
+        if packed:
+            return
+    if (text := _as_text(data)) is not None:
+        yield Layer(text, [(i, at[i // 3 * 4], at[min(i // 3 * 4 + 4, len(at)) - 1] + 1, False) for i in range(0, len(text), 3)] if text.isascii() else whole, layer), True
+
+
+def _starts(body: str, starts: Iterable[int]) -> list[int]:
+    """Those of the starts (ascending) to decode from: the first of each place in a group of four, which holds what the later ones give, and every one where a compressed stream begins."""
+    out, met = [], set()
+    for i in starts:
+        head = body[i : i + 8].replace("-", "+").replace("_", "/")
+        if i % 4 not in met or len(head) == 8 and "=" not in head and _decoder(base64.b64decode(head)):
+            out.append(i)
+            met.add(i % 4)
+    return out
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
     for run in BASE64.finditer(layer.text):
-        tries = [run] if run[0].isalnum() else [run, *PLAIN64.finditer(layer.text, run.start(), run.end())]
-        for m in tries:
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(body) % 4 == 1:
-                continue
-            try:
-                data = base64.b64decode(body + "=" * (-len(body) % 4))
-            except binascii.Error:
-                continue
-            if _decoder(data):
-                packed = False
-                for chunk in _chunks(_inflated(iter([data]))):
-                    # A chunk may begin or end inside a character.
-                    if (text := _as_text(chunk) or _as_text(chunk.decode("utf-8", "ignore").encode())) is not None:
-                        packed = True
-                        yield Layer(text, [(0, m.start(), m.end(), False)], layer)
-                if packed:
-                    break
-            if (text := _as_text(data)) is None:
-                continue
-            if not text.isascii():
-                parts = [(0, m.start(), m.end(), False)]
-            else:
-                parts = [(i, m.start() + i // 3 * 4, min(m.start() + i // 3 * 4 + 4, m.end()), False) for i in range(0, len(text), 3)]
-            yield Layer(text, parts, layer)
-            break
+        readable = False
+        for inner, reads in _decoded(run[0], range(run.start(), run.end()), layer):
+            readable |= reads
+            yield inner
+        if readable or run[0].isalnum():
+            continue
+        # Several runs glued together, or one to a prefix: each piece, and the rest from each separator.
+        pieces = [(m.start(), m.end()) for m in PLAIN64.finditer(layer.text, run.start(), run.end())]
+        rests = [(run.start() + i, run.end()) for i in _starts(run[0], (m.end() for m in SEPARATOR.finditer(run[0])))]
+        for start, end in dict.fromkeys(pieces + rests):
+            if end - start >= 2:
+                yield from (inner for inner, _ in _decoded(layer.text[start:end], range(start, end), layer))
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:

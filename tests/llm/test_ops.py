@@ -86,6 +86,16 @@ def test_secrets_far_into_a_layer():
     assert secret_scan.find_secrets(data)[1] == [(0, 0, len(data))]
 
 
+def test_secrets_of_every_piece():
+    find = lambda text: secret_scan.find_secrets(text)[1]
+    assert find("GET /dXNlcj1hbGljZXdvbmRlcg/c2VjcmV0PWFiY2RlZmdoaWprbG1ub3A HTTP") == [(28, 0, 59)]
+    for inner in (b"?>?>?> " + SECRET, b"~~~ " + SECRET + b" ?>?>", gzip.compress(SECRET * 3)):
+        for code in (base64.b64encode, base64.urlsafe_b64encode):
+            for prefix in ("v/", "a-b/", "path/to_some/"):
+                text = prefix + code(inner).decode()
+                assert any(kind == 0 and start >= len(prefix) for start, kind, _ in find(text)), text
+
+
 def test_media_round_trip(spark):
     got = rows_of(media.read_back(media.store_texts(table(spark))))
     assert len(got) == len(ROWS)
