@@ -39,6 +39,7 @@ SEPARATOR = re.compile(r"[+/_-]")
 PLAIN64 = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 #: Inflated layers are scanned in chunks of so many bytes, of which the next repeats OVERLAP at least; decoders give PIECE at once.
 CHUNK, OVERLAP, PIECE = 16 << 20, 1 << 20, 1 << 20
+CONTROL = bytes([*range(9), *range(14, 28), 127])
 RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
 #: Streams packed into each other without base64 between; only one that unpacks to itself goes so deep.
 DEEPEST = 100
@@ -97,15 +98,16 @@ def _percent(layer: Layer) -> Iterator[Layer]:
         return
     pieces = []
     for m in PERCENT.finditer(layer.text):
-        try:
-            text = bytes.fromhex(m[0].replace("%", "")).decode()
-        except UnicodeDecodeError:
-            continue
+        # A byte that isn't UTF-8 is a character by itself.
+        text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
         at = m.start()
         for c in text:
-            pieces.append((at, at := at + 3 * len(c.encode()), c))
+            alone = "\udc80" <= c <= "\udcff"
+            pieces.append((at, at := at + (3 if alone else 3 * len(c.encode())), chr(ord(c) - 0xDC00) if alone else c))
     if pieces:
         yield _replaced(layer, pieces)
+    if any(c == "\0" for _, _, c in pieces):  # UTF-16
+        yield _replaced(layer, [(start, end, c.strip("\0")) for start, end, c in pieces])
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
@@ -152,12 +154,16 @@ def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
             yield from pieces
             return
         decoder, most = found
+        raw, n = [data], len(data)
         try:
             while not decoder.eof:
-                if not data and (data := next(pieces, b"")) == b"":
+                if not data:
+                    data = next(pieces, b"")
+                    raw, n = raw + [data] if n < CHUNK else raw, n + len(data)
+                if not data:
                     if isinstance(decoder, type(zlib.decompressobj())):
                         yield decoder.flush()
-                    return
+                    raise EOFError
                 if most:
                     out, data = decoder.decompress(data[:most]), data[most:]
                     data = (decoder.unused_data + data) if decoder.eof else data
@@ -173,6 +179,9 @@ def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
                 if out:
                     yield out
         except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            # Damaged, or text that only begins like a compressed stream.
+            yield from raw
+            yield from pieces
             return
 
 
@@ -203,17 +212,22 @@ def _chunks(pieces: Iterator[bytes]) -> Iterator[bytes]:
         yield b"".join([held, *new])
 
 
-def _as_text(data: bytes) -> str | None:
+def _texts(data: bytes) -> Iterator[tuple[str, bool]]:
+    """Every reading of the bytes, and whether it is clean: UTF-8, or UTF-16 by its mark; else each byte a character, and where bytes are zero, one without those, as of UTF-16."""
+    text = None
     try:
         text = data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8")
     except UnicodeDecodeError:
-        return None
-    bad = sum(not (c.isprintable() or c.isspace()) for c in text)
-    return text if text and bad * 10 <= len(text) else None
+        pass
+    yield (data.decode("latin-1"), False) if text is None else (text, len(data.translate(None, CONTROL)) * 10 >= len(data) * 9)
+    if text is not None and data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        yield data.decode("latin-1"), False
+    elif b"\0" in data:
+        yield data.replace(b"\0", b"").decode("latin-1"), False
 
 
 def _decoded(body: str, at: Sequence[int], layer: Layer) -> Iterator[tuple[Layer, bool]]:
-    """The layers of base64 characters and whether each reads as a whole; at: the place of each in the layer above."""
+    """The layers of base64 characters and whether each reads as a clean whole; at: the place of each in the layer above."""
     bare = body.rstrip("=").replace("-", "+").replace("_", "/")
     bare = bare[: len(bare) - (len(bare) % 4 == 1)]
     data = base64.b64decode(bare + "=" * (-len(bare) % 4))
@@ -221,14 +235,15 @@ def _decoded(body: str, at: Sequence[int], layer: Layer) -> Iterator[tuple[Layer
     if _decoder(data):
         packed = False
         for chunk in _chunks(_inflated(iter([data]))):
-            # A chunk may begin or end inside a character.
-            if (text := _as_text(chunk) or _as_text(chunk.decode("utf-8", "ignore").encode())) is not None:
-                packed = True
-                yield Layer(text, whole, layer), True
+            if chunk == data:
+                break
+            packed = True
+            yield from ((Layer(text, whole, layer), True) for text, _ in _texts(chunk))
         if packed:
             return
-    if (text := _as_text(data)) is not None:
-        yield Layer(text, [(i, at[i // 3 * 4], at[min(i // 3 * 4 + 4, len(at)) - 1] + 1, False) for i in range(0, len(text), 3)] if text.isascii() else whole, layer), True
+    for text, clean in _texts(data):
+        # A character a byte, each has its own place.
+        yield Layer(text, [(i, at[i // 3 * 4], at[min(i // 3 * 4 + 4, len(at)) - 1] + 1, False) for i in range(0, len(text), 3)] if len(text) == len(data) else whole, layer), clean
 
 
 def _starts(body: str, starts: Iterable[int]) -> list[int]:

@@ -77,7 +77,7 @@ SECRET = b"password = hunter2hunter2"
 def test_secrets_of_all_members(pack):
     spans = lambda data: secret_scan.find_secrets(base64.b64encode(data).decode())[1]
     n = lambda data: len(base64.b64encode(data))
-    for data in (pack(b"a") + pack(SECRET), pack(pack(b"a") + pack(b"b") + pack(SECRET)), pack(b"a b ") + SECRET):
+    for data in (pack(b"a") + pack(SECRET), pack(pack(b"a") + pack(b"b") + pack(SECRET)), pack(b"a b ") + SECRET, pack(b"x " + SECRET)):
         assert spans(data) == [(0, 0, n(data))], pack
 
 
@@ -96,6 +96,14 @@ def test_secrets_of_every_piece():
                 assert any(kind == 0 and start >= len(prefix) for start, kind, _ in find(text)), text
 
 
+@pytest.mark.parametrize("data", [b"caf\xe9 " + SECRET, SECRET + b" \x00\x01\x02\x03\xff\xfe\x80\x81" * 9, SECRET.decode().encode("utf-16-le"), SECRET.decode().encode("utf-16-be"), b"\xff\xfe" + SECRET + b"!"])
+def test_secrets_beside_odd_bytes(data):
+    for text in (base64.b64encode(data).decode(), base64.b64encode(gzip.compress(data)).decode(), "v/ab_c/d/" + base64.b64encode(data).decode(), "".join(f"%{b:02X}" for b in data)):
+        spans = secret_scan.find_secrets(text)[1]
+        assert any(kind == 0 and 0 <= start < end <= len(text) for start, kind, end in spans), text
+    assert secret_scan.find_secrets("%E9%70assword = hunter2hunter2")[1] == [(3, 0, 30)]
+
+
 def test_media_round_trip(spark):
     got = rows_of(media.read_back(media.store_texts(table(spark))))
     assert len(got) == len(ROWS)
