@@ -35,6 +35,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]+\}|\\x[0-9A-Fa-f]{2}|&\#[^;]+;")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run of base64 lines joined by line ends with or without an indent, and a short first line before it.
+LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:\r\n|\n|\r)[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+SHORT = re.compile(r"[A-Za-z0-9+/_-]{1,15}(?:\r\n|\n|\r)[\x20\t]*\Z")
 SEPARATOR = re.compile(r"[+/_-]")
 PLAIN64 = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 #: Inflated layers are scanned in chunks of so many bytes, of which the next repeats OVERLAP at least; decoders give PIECE at once.
@@ -257,6 +260,27 @@ def _starts(body: str, starts: Iterable[int]) -> list[int]:
     return out
 
 
+def _wrapped(layer: Layer) -> Iterator[Layer]:
+    """Runs over several lines as one, from each line's start and separator as far as these differ."""
+    done = 0
+    for run in BASE64.finditer(layer.text):
+        if run.start() < done or not (m := LINES.match(layer.text, run.start())):
+            continue
+        done, start = m.end(), run.start()
+        if short := SHORT.search(layer.text, max(0, start - 64), start):
+            start = short.start()
+        at = [i for i in range(start, done) if layer.text[i] not in "\r\n\t "]
+        body = "".join([layer.text[i] for i in at])
+        line_or_piece = [k for k in range(len(at)) if k == 0 or at[k] > at[k - 1] + 1 or body[k - 1] in "+/_-"]
+        for k in _starts(body, line_or_piece):
+            readable = False
+            for inner, reads in _decoded(body[k:], at[k:], layer):
+                readable |= reads
+                yield inner
+            if readable:
+                break
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
     for run in BASE64.finditer(layer.text):
         readable = False
@@ -274,7 +298,7 @@ def _base64(layer: Layer) -> Iterator[Layer]:
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
-    for decode in (_percent, _escapes, _base64):
+    for decode in (_percent, _escapes, _base64, _wrapped):
         yield from decode(layer)
 
 

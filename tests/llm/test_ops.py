@@ -104,6 +104,16 @@ def test_secrets_beside_odd_bytes(data):
     assert secret_scan.find_secrets("%E9%70assword = hunter2hunter2")[1] == [(3, 0, 30)]
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+@pytest.mark.parametrize("join", ["\n", "\r\n", "\n    ", "\r\t"])
+@pytest.mark.parametrize("before", ["", "-----BEGIN DATA-----\n", "see below\n", "Key: "])
+def test_secrets_over_lines(pack, join, before):
+    """A secret across a line end, and a payload that only inflates whole."""
+    code = base64.b64encode(pack(bytes(random.Random(5).choices(range(97, 123), k=45)) + b" " + SECRET + b" " + bytes(random.Random(6).choices(range(97, 123), k=150)))).decode()
+    text = before + join.join(code[i : i + 64] for i in range(0, len(code), 64)) + "\n-----END"
+    assert any(kind == 0 and len(before) <= start < len(before) + 70 < end for start, kind, end in secret_scan.find_secrets(text)[1])
+
+
 def test_media_round_trip(spark):
     got = rows_of(media.read_back(media.store_texts(table(spark))))
     assert len(got) == len(ROWS)
