@@ -146,10 +146,10 @@ def score_rows(model: CoTrained, rows: list[tuple]) -> np.ndarray:
     """(text score, page score, score) of each row."""
     if not rows:
         return np.zeros((0, 3))
-    wordy = np.array([bool(t and HAS_WORD.search(t)) for t, *_ in rows])
     if model.text is None:
+        wordy = np.array([bool(t and HAS_WORD.search(t)) for t, *_ in rows])
         return np.repeat(wordy[:, None].astype(float), 3, axis=1)
-    return np.stack(model.probabilities(*_views(rows)), axis=1) * wordy[:, None]
+    return np.stack(model.probabilities(*_views(rows)), axis=1) * np.array([bool(t) for t, *_ in rows])[:, None]
 
 
 def score_quality(docs: DataFrame, model: CoTrained, id_col: str = "doc_id") -> DataFrame:

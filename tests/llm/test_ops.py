@@ -264,6 +264,15 @@ def test_quality_of_a_repeated_id(spark, monkeypatch):
     assert quality.score_quality(table(spark, docs), models[0]).count() == len(docs)
 
 
+def test_quality_without_letters():
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choice(["spam", "junk"]) if i % 2 else f"{rng.randrange(1000)}.5" for _ in range(40)), "en", "a", None) for i in range(200)]
+    x, z = quality._views(rows)
+    model = quality.co_train(x, z, np.arange(200) % 2 == 0, x[:0], z[:0])
+    scores = quality.score_rows(model, [*rows[:2], ("", "en", "a", 0), (None, "en", "a", None)])[:, 2]
+    assert scores[0] >= quality.THRESHOLD > scores[1] and not scores[2:].any()
+
+
 def test_language(spark):
     rng = random.Random(4)
     words = {"en": "the and with of this", "de": "der und mit von dies", "fr": "le et avec du ce", "es": "el y con del esto", "xx": "zzo qqi kka"}
