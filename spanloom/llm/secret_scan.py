@@ -5,6 +5,9 @@ layer of its own, which is scanned and unwrapped in turn until nothing new appea
 characters came from, so all spans are code points of the original text (end exclusive). A layer that was seen before
 at the same place ends the descent (cycle detection).
 
+Escapes within escapes are scanned layer by layer LEVELS deep; a text that is escaped deeper has its escapes undone to
+the end in one pass, so that the cost doesn't grow with the square of a text that escapes its own escape signs.
+
 Nulls and empty texts have no spans. Rows are independent: repeated rows give repeated results. Extra columns are
 ignored by scan_secrets and kept by redact_secrets.
 """
@@ -46,6 +49,10 @@ CONTROL = bytes([*range(9), *range(14, 28), 127])
 RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
 #: Streams packed into each other without base64 between; only one that unpacks to itself goes so deep.
 DEEPEST = 100
+#: Layers of escapes within escapes that are scanned one by one; what is escaped deeper is unescaped to its end at once.
+LEVELS = 8
+#: An escape at the end of a text.
+TAIL = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};)\Z")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -60,10 +67,10 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text; parts: (start here, start above, end above, verbatim) by start, over the layer above."""
+    """A decoded text; parts: (start here, start above, end above, verbatim) by start, over the layer above; level: how many layers of escapes it came through."""
 
-    def __init__(self, text: str, parts: list[tuple[int, int, int, bool]] | None = None, above: Layer | None = None):
-        self.text, self.parts, self.above = text, parts, above
+    def __init__(self, text: str, parts: list[tuple[int, int, int, bool]] | None = None, above: Layer | None = None, level: int = 0):
+        self.text, self.parts, self.above, self.level = text, parts, above, level
         self.starts = [p[0] for p in parts or []]
 
     def root_span(self, start: int, end: int) -> tuple[int, int]:
@@ -93,7 +100,7 @@ def _replaced(above: Layer, pieces: list[tuple[int, int, str]]) -> Layer:
     if at < len(above.text):
         parts.append((n, at, len(above.text), True))
         out.append(above.text[at:])
-    return Layer("".join(out), parts, above)
+    return Layer("".join(out), parts, above, above.level + 1)
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
@@ -113,22 +120,76 @@ def _percent(layer: Layer) -> Iterator[Layer]:
         yield _replaced(layer, [(start, end, c.strip("\0")) for start, end, c in pieces])
 
 
+def _escaped(escape: str) -> str:
+    """The character that an escape stands for; none for what is no character."""
+    if escape[0] == "&":
+        return html.unescape(escape)
+    c = "".join(chr(v) for x in re.findall(r"[0-9A-Fa-f]+", escape) if (v := int(x, 16)) < 0x110000)
+    return c.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def _escapes(layer: Layer) -> Iterator[Layer]:
     if "\\" not in layer.text and "&#" not in layer.text:
         return
     pieces = []
     for run in ESCAPE.finditer(layer.text):
-        for m in ONE_ESCAPE.finditer(layer.text, run.start(), run.end()):
-            if m[0][0] == "&":
-                c = html.unescape(m[0])
-            else:
-                c = "".join(chr(v) for x in re.findall(r"[0-9A-Fa-f]+", m[0]) if (v := int(x, 16)) < 0x110000)
-                c = c.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
-            pieces.append((m.start(), m.end(), c))
+        pieces += [(m.start(), m.end(), _escaped(m[0])) for m in ONE_ESCAPE.finditer(layer.text, run.start(), run.end())]
     if pieces:
         yield _replaced(layer, pieces)
 
 
+def _unescaped(layer: Layer) -> Iterator[Layer]:
+    """All escapes undone in one pass, those too that undoing others makes: characters go onto a stack, and an escape at its top is replaced by its character at once."""
+    text, chars, spans, at = layer.text, [], [], 0
+    if not any(sign in text for sign in ("%", "\\", "&#")):
+        return
+
+    def reduce() -> None:
+        while chars and chars[-1] in "0123456789abcdefABCDEF;}":
+            if not (m := TAIL.search("".join(chars[-12:]))):
+                return
+            n = len(m[0])
+            # One byte of several, or of none: decoded with its neighbours below.
+            c = chr(v if (v := int(m[0][1:], 16)) < 128 else 0xDC00 + v) if m[0][0] == "%" else _escaped(m[0])
+            start, end = spans[-n][0], spans[-1][1]
+            del chars[-n:], spans[-n:]
+            if not c:
+                return
+            chars.append(c)
+            spans.append((start, end))
+
+    for m in re.finditer(r"[0-9A-Fa-f;}]", text):
+        for i in range(at, m.end()):
+            chars.append(text[i])
+            spans.append((i, i + 1))
+        at = m.end()
+        reduce()
+    for i in range(at, len(text)):
+        chars.append(text[i])
+        spans.append((i, i + 1))
+    if len(chars) == len(text):
+        return
+    out, parts, n, i = [], [], 0, 0
+    while i < len(chars):
+        k = i + 1
+        if "\udc80" <= chars[i] <= "\udcff":
+            while k < len(chars) and "\udc80" <= chars[k] <= "\udcff":
+                k += 1
+            i0, raw = i, "".join(chars[i:k]).encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape")
+            for c in raw:
+                alone = "\udc80" <= c <= "\udcff"
+                width = 1 if alone else len(c.encode())
+                parts.append((n, spans[i0][0], spans[i0 + width - 1][1], False))
+                out.append(chr(ord(c) - 0xDC00) if alone else c)
+                n, i0 = n + 1, i0 + width
+        else:
+            parts.append((n, *spans[i], False))
+            out.append(chars[i])
+            n += len(chars[i])
+        i = k
+    yield Layer("".join(out), parts, layer, layer.level + 1)
+
+
 def _decoder(head: bytes) -> tuple[object, int | None] | None:
     """A decoder of the format that head begins, and how much input it may be given at once where its output can't be limited."""
     if head[:2] == b"\x1f\x8b":
@@ -298,7 +359,7 @@ def _base64(layer: Layer) -> Iterator[Layer]:
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
-    for decode in (_percent, _escapes, _base64, _wrapped):
+    for decode in (*((_percent, _escapes) if layer.level < LEVELS else (_unescaped,)), _base64, _wrapped):
         yield from decode(layer)
 
 
@@ -347,11 +408,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redacted(text: str) -> str:
     """text with every secret, overlapping ones together, replaced by its kind in brackets."""
-    out, at, spans = [], 0, find_secrets(text)[1]
-    while spans:
-        start, kind, end = spans.pop(0)
-        while spans and spans[0][0] < end:
-            end = max(end, spans.pop(0)[2])
+    out, at, joint = [], 0, []
+    for start, kind, end in find_secrets(text)[1]:
+        if joint and start < joint[-1][2]:
+            joint[-1][2] = max(end, joint[-1][2])
+        else:
+            joint.append([start, kind, end])
+    for start, kind, end in joint:
         out += [text[at:start], f"[{KINDS[kind]} secret]"]
         at = end
     return "".join([*out, text[at:]])
