@@ -16,7 +16,7 @@ each; an empty table gives no sequence. Extra columns are ignored.
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,10 +38,12 @@ WINDOW = 64 * LENGTH
 class WordTokenizer:
     """The ids of a lower-casing word BPE as the tokenizers library gives them, much faster: words are looked up.
 
-    Words of letters and printable signs up to U+024F are split here and merged by rank; all others, and texts with
-    special strings or separators that only one side takes for white space, go through the library.
+    Words of letters and printable signs up to U+024F, where there is nothing to compose or reorder, are split here and
+    merged by rank. Every other word goes through the library as it stands, and so do whole texts with special strings
+    or separators that only one side takes for white space.
     """
 
+    BEYOND = re.compile("[^\x00-\u024f]")
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     HELD = 400_000
 
@@ -71,11 +73,13 @@ class WordTokenizer:
         """The ids of a text, as unsigned 32-bit integers."""
         if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         if len(self.known) > self.HELD:
             self.known = {}
-        known, words = self.known, text.lower().split()
+        if text.isascii() or not self.BEYOND.search(text):
+            words = text.lower().split()
+        else:  # lower case is left to the library where it may depend on more than the letter
+            words = [w if self.BEYOND.search(w) else w.lower() for w in text.split()]
+        known = self.known
         try:
             cells = b"".join(map(known.__getitem__, words))
         except KeyError:
