@@ -5,13 +5,14 @@ vector machine for each pair of languages votes; the language with most votes, t
 The score is the family's probability times the mean calibrated confidence of the votes that the winner took part in.
 
 Learning: from text and non-null language of documents with crc32(id as text) mod 5 other than 0, on a bounded sample
-of about PER_LANGUAGE documents a language and TOTAL in all, chosen by the hash of their id. A null id is neither held
-out nor learned from. Texts that are null or have no letter are `und` with score 0, as all are where nothing could be
+of about PER_LANGUAGE documents a language and TOTAL in all, chosen by the hash of their id; of documents that share id
+and language one is learned from. A null id is neither held out nor learned from. Texts that are null or have no letter are `und` with score 0, as all are where nothing could be
 learned. All texts are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -109,26 +110,37 @@ def _features(texts: list[str]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
+    """Fitted by one task on a sample of about TOTAL documents, more only if there are more languages: each has one at least."""
     part = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter((part != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TOTAL // 8).collect()}
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter((part != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und") & F.col("text").rlike(r"\p{L}"))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    known = known.withColumn("place", place)
+    # One row for each language, as in the model itself.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()
     if not counts:
         return Hierarchy([], [], np.zeros(0), {})
-    each = min(PER_LANGUAGE, TOTAL // len(counts))
-    cut = F.coalesce(*(F.when(F.col("lang") == k, F.lit(each / n)) for k, n in counts.items()), F.lit(0.0))
-    some = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= cut * (1 << 30)).orderBy(F.xxhash64("id"), "id", "lang", F.xxhash64("text")).limit(2 * TOTAL).select("id", "lang", "text")
+    each = max(1, min(PER_LANGUAGE, TOTAL // len(counts)))
+    cuts = docs.sparkSession.createDataFrame([(r["lang"], max(r["first"], int(each / r["n"] * (1 << 30)))) for r in counts], "lang string, cut long")
+    some = known.join(F.broadcast(cuts), "lang").filter(F.col("place") <= F.col("cut"))
+    some = some.select("id", "lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, linear.grams(t, 3, lower=True).astype(np.float16).tobytes()) for k, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "f"])
-
-    got = some.mapInArrow(features, "lang string, f binary").toArrow()
-    rows = sorted(zip(got.column("lang").to_pylist(), got.column("f").to_pylist(), strict=True))
-    if not rows:
-        return Hierarchy([], [], np.zeros(0), {})
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-    return fit_rows(x, [r[0] for r in rows])
+            cells = [linear.grams(t, 3, lower=True).astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(cells, pa.binary())], ["id", "lang", "f"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(b.column("lang").to_pylist(), b.column("f").to_pylist(), strict=True)))
+        langs, x = [r[0] for r in rows], np.empty((len(rows), linear.GRAMS), np.float32)
+        for k, (_, f) in enumerate(rows):
+            x[k], rows[k] = np.frombuffer(f, np.float16), None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows(x, langs))], pa.binary())], ["model"])
+
+    kind = known.schema["id"].dataType.simpleString()
+    # One row for each id and language, so that a hot id can't fill the task.
+    learned = some.mapInArrow(features, f"id {kind}, lang string, f binary").groupBy("id", "lang").agg(F.min("f").alias("f"))
+    got = learned.select("lang", "f").repartition(1).mapInArrow(train, "model binary").first()
+    return pickle.loads(got["model"]) if got else Hierarchy([], [], np.zeros(0), {})
 
 
 def identify(docs: DataFrame, model: Hierarchy, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

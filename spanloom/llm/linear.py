@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: Hashed byte n-grams of a text.
@@ -25,32 +27,34 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-4, steps: int = 150) -> np.ndarray:
-    """Weights and bias, by Nesterov's gradient steps with a Lipschitz step size."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = np.ones(len(x)) if weight is None else weight
-    weight = (weight / weight.sum()).astype(x.dtype)
-    rate = 1 / (0.25 * float(weight @ (x * x).sum(1)) + l2)
-    w = v = np.zeros(x.shape[1], x.dtype)
+def _descend(x: np.ndarray, slope: Callable[[np.ndarray], np.ndarray], curve: float, weight: np.ndarray, l2: float, steps: int) -> np.ndarray:
+    """Weights and bias by Nesterov's steps; slope gives the loss's derivative by margin, curve bounds its second one.
+
+    The bias is kept apart from the rows, and squared lengths come without a copy of them, so that a fit needs no
+    memory beside x but vectors.
+    """
+    weight = (weight / weight.sum()).astype(np.float32)
+    rate = 1 / (curve * (float(weight @ np.einsum("ij,ij->i", x, x)) + 1) + l2)
+    w = v = np.zeros(x.shape[1], np.float32)
+    b = c = np.float32(0)
     for t in range(steps):
-        g = x.T @ (weight * (sigmoid(x @ v) - y)).astype(x.dtype) + l2 * np.r_[v[:-1], 0].astype(x.dtype)
-        new = v - rate * g
-        v, w = new + t / (t + 3) * (new - w), new
-    return w.astype(np.float32)
+        pull = (weight * slope(x @ v + c)).astype(np.float32)
+        new, bias = v - np.float32(rate) * (x.T @ pull + np.float32(l2) * v), c - np.float32(rate * pull.sum())
+        push = np.float32(t / (t + 3))
+        v, w = new + push * (new - w), new
+        c, b = bias + push * (bias - b), bias
+    return np.r_[w, b].astype(np.float32)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-4, steps: int = 150) -> np.ndarray:
+    """Weights and bias of a logistic model; rows of weight 0 take no part."""
+    return _descend(x, lambda m: sigmoid(m) - y, 0.25, np.ones(len(x)) if weight is None else weight, l2, steps)
 
 
 def svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150) -> np.ndarray:
     """A linear support vector machine with squared hinge loss; y is -1 or 1. Classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
-    rate = 1 / (2 * float(weight @ (x * x).sum(1)) + l2)
-    w = v = np.zeros(x.shape[1], x.dtype)
-    for t in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        g = -2 * x.T @ (weight * y * slack).astype(x.dtype) + l2 * np.r_[v[:-1], 0].astype(x.dtype)
-        new = v - rate * g
-        v, w = new + t / (t + 3) * (new - w), new
-    return w.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    return _descend(x, lambda m: -2 * y * np.maximum(0, 1 - y * m), 2, weight, l2, steps)
 
 
 def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
