@@ -6,14 +6,16 @@ unlabelled rows that it is surest of as pseudo-labels. Both are calibrated on la
 every document is scored by the two calibrated views together.
 
 The models are fitted on a bounded sample: at most LABELLED labelled and UNLABELLED other rows, chosen by the hash of
-their id. All documents are scored, whole. A null or empty text scores 0. Rows with null ids can't be labelled but are
-scored. Repeated labels of an id count once, by their mean; of rows that share an id one is learned from. Without labels of both classes every text that has a word
-scores 1. Extra columns are ignored by score_quality.
+their id; one executor task fits on it. All documents are scored, whole. A null or empty text scores 0. Rows with null
+ids can't be labelled but are scored. Repeated labels of an id count once, by their mean; of rows that share an id one is
+learned from. Without labels of both classes every text that has a word scores 1. Extra columns are ignored by
+score_quality.
 """
 
 from __future__ import annotations
 
 import operator
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,27 +79,37 @@ class CoTrained:
         return linear.sigmoid(a), linear.sigmoid(b), linear.sigmoid(a + b - self.prior)
 
 
-def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, ux: np.ndarray, uz: np.ndarray, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained:
-    """x, z, y: the labelled rows' views and classes; ux, uz: the others' views."""
-    held = np.arange(len(y)) % 4 == 3
-    if len({*y[~held]}) < 2 or len({*y[held]}) < 2:
-        held = np.zeros(len(y), bool)
-    if len({*y}) < 2:
+def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained:
+    """x, z: the rows' views; y: their classes, -1 for rows without a label. Rows are never copied: each view's model gets classes and weights."""
+    own = np.flatnonzero(y >= 0)
+    held = own[3::4]
+    fit = np.setdiff1d(own, held)
+    if len({*y[own]}) < 2:
         return CoTrained()
-    x0, z0, y0 = x[~held], z[~held], y[~held]
-    for_text, for_page = {}, {}
+    if len({*y[fit]}) < 2 or len({*y[held]}) < 2:
+        fit, held = own, own
+    free = np.flatnonzero(y < 0)
+    rate = y[fit].mean()
+    # Of each view: the classes it learns from, and which rows have one.
+    classes, known = [np.zeros(len(y)) for _ in range(2)], [np.zeros(len(y)) for _ in range(2)]
+    for k in range(2):
+        classes[k][fit], known[k][fit] = y[fit], 1
     for k in range(rounds + 1):
-        text, page = (linear.logistic(np.vstack([v, u[list(p)]]) if p else v, np.r_[y0, list(p.values())]) for v, u, p in ((x0, ux, for_text), (z0, uz, for_page)))
-        if k == rounds or not len(ux):
+        models = [linear.logistic(v, c, w) for v, c, w in zip((x, z), classes, known, strict=True)]
+        if k == rounds or not len(free):
             break
-        rate = y0.mean()
-        for model, view, to in ((text, ux, for_page), (page, uz, for_text)):
-            m = linear.margin(view, model)
-            order = [i for i in np.argsort(m, kind="stable") if i not in to]
+        for give, view, take in ((0, x, 1), (1, z, 0)):
+            m = linear.margin(view, models[give])
+            order = free[np.argsort(m[free], kind="stable")]
+            order = order[known[take][order] == 0]
             low, high = max(1, int(given * (1 - rate))), max(1, int(given * rate))
-            to.update({i: 0.0 for i in order[:low] if m[i] < -1} | {i: 1.0 for i in order[-high:] if m[i] > 1})
-    cx, cz, cy = (x[held], z[held], y[held]) if held.any() else (x, z, y)
-    return CoTrained(text, page, linear.platt(linear.margin(cx, text), cy), linear.platt(linear.margin(cz, page), cy), float(np.log((y == 1).sum() / (y == 0).sum())))
+            good = order[-high:][m[order[-high:]] > 1]
+            bad = order[:low][m[order[:low]] < -1]
+            for rows, label in ((bad, 0), (good, 1)):
+                classes[take][rows], known[take][rows] = label, 1
+    text, page = models
+    scales = [linear.platt(linear.margin(v[held], w), y[held]) for v, w in ((x, text), (z, page))]
+    return CoTrained(text, page, *scales, float(np.log((y[own] == 1).sum() / (y[own] == 0).sum())))
 
 
 FIELDS = ("text", "lang", "source", "n_chars")
@@ -114,7 +126,7 @@ def _columns(docs: DataFrame) -> list:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> CoTrained:
-    """Fitted on the driver from two bounded samples of feature rows."""
+    """Fitted by one task from two bounded samples of feature rows."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__sl_id")).agg(F.avg("quality").alias("y"))
     some = known.orderBy(F.xxhash64("__sl_id"), "__sl_id").limit(LABELLED)
     rows = docs.select(F.col(id_col).alias("__sl_id"), *_columns(docs))
@@ -129,17 +141,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> CoTrained
             both = np.hstack([x, z]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column("__sl_id"), b.column("y"), pa.array([r.tobytes() for r in both], pa.binary())], ["id", "y", "f"])
 
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(i, f, y) for b in batches for i, y, f in zip(*(b.column(c).to_pylist() for c in ("id", "y", "f")), strict=True)]
+        held.sort(key=lambda r: r[:2])
+        y = np.array([-1.0 if r[2] < 0 else float(r[2] >= 0.5) for r in held])
+        x, z = np.empty((len(held), linear.GRAMS), np.float32), np.empty((len(held), META), np.float32)
+        for k, (_, f, _) in enumerate(held):
+            row = np.frombuffer(f, np.float16)
+            x[k], z[k], held[k] = row[: linear.GRAMS], row[linear.GRAMS :], None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(co_train(x, z, y) if len(y) else CoTrained())], pa.binary())], ["model"])
+
     kind = rows.schema["__sl_id"].dataType.simpleString()
-    # One row for each id, so that an id which many rows share can't fill the driver.
-    got = picked.select("__sl_id", "y", *FIELDS).mapInArrow(features, f"id {kind}, y double, f binary").groupBy("id", "y").agg(F.min("f").alias("f")).toArrow()
-    if not got.num_rows:
-        return CoTrained()
-    order = sorted(range(got.num_rows), key=lambda i, ids=got.column("id").to_pylist(), f=got.column("f").to_pylist(): (ids[i], f[i]))
-    got = got.take(order)
-    f = np.frombuffer(b"".join(got.column("f").to_pylist()), np.float16).reshape(got.num_rows, -1).astype(np.float32)
-    y = got.column("y").to_numpy()
-    x, z, own = f[:, : linear.GRAMS], f[:, linear.GRAMS :], y >= 0
-    return co_train(x[own], z[own], (y[own] >= 0.5).astype(float), x[~own], z[~own])
+    # One row for each id, so that an id which many rows share counts once. The sample is bounded and one task fits on it, so that the driver sees the model alone.
+    learned = picked.select("__sl_id", "y", *FIELDS).mapInArrow(features, f"id {kind}, y double, f binary").groupBy("id", "y").agg(F.min("f").alias("f"))
+    got = learned.repartition(1).mapInArrow(train, "model binary").first()
+    return pickle.loads(got["model"]) if got else CoTrained()
 
 
 def score_rows(model: CoTrained, rows: list[tuple]) -> np.ndarray:
