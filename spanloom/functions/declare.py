@@ -195,37 +195,51 @@ def split_lines(text: str) -> list[str]:
     return [x.removesuffix("\r") for x in lines]
 
 
+def body_ends(filled: list[tuple[int, int, bool]]) -> list[int]:
+    """For each line that isn't blank, (number, indent, closes a body), the last line of a body that it would open.
+
+    That body stops at the next such line that is indented no further. A line that does nothing but close belongs to it.
+    """
+    out, after = [0] * len(filled), [len(filled)] * len(filled)
+    for i in range(len(filled) - 1, -1, -1):
+        k = i + 1
+        while k < len(filled) and filled[k][1] > filled[i][1]:
+            k = after[k]
+        after[i] = k
+        out[i] = filled[-1][0] if k == len(filled) else filled[k][0] if filled[k][2] else filled[k - 1][0]
+    return out
+
+
+def nesting(indents: list[int]) -> list[int]:
+    """The depth of each declaration: one more than that of the nearest earlier one that is indented less."""
+    depth, outer = [], []
+    for i, own in enumerate(indents):
+        k = i - 1
+        while k >= 0 and indents[k] >= own:
+            k = outer[k]
+        outer.append(k)
+        depth.append(0 if k < 0 else depth[k] + 1)
+    return depth
+
+
+def declaration_table(code: list[str]) -> list[Declaration]:
+    """The declarations of masked lines. One that holds others ends before the first of these."""
+    bare = [(n, x, x.lstrip(" \t")) for n, x in enumerate(code, 1)]
+    filled = [(n, len(x) - len(rest), CLOSES.fullmatch(x) is not None) for n, x, rest in bare if rest]
+    found = [(i, scan_declaration(code[n - 1])) for i, (n, _, _) in enumerate(filled)]
+    found = [(i, *d) for i, d in found if d]
+    ends, depth = body_ends(filled), nesting([filled[i][1] for i, _, _ in found])
+    starts = [filled[i][0] for i, _, _ in found]
+    limits = [s - 1 for s in [*starts, len(code) + 1][1:]][: len(found)]
+    return [Declaration(name, kind, start, max(start, min(ends[i], limit)), d) for (i, kind, name), start, limit, d in zip(found, starts, limits, depth, strict=True)]
+
+
 def analyze(content: str) -> tuple[list[Declaration], list[str], list[str]]:
     """A file's declarations, code lines and comment lines (as Latin-1)."""
-    raw = content.encode("utf-8", "surrogatepass")
-    masker, code, notes = Masker(), [], []
-    table: list[Declaration] = []
-    pending: list[tuple[int, Declaration]] = []
-    outer: list[int] = []
-    filled = 0
-    for number, line in enumerate(split_lines(raw.decode("latin-1")), 1):
-        mine, note = masker.render(line)
-        code.append(mine)
-        notes.append(note)
-        bare = mine.lstrip(" \t")
-        if not bare.strip():
-            continue
-        indent = len(mine) - len(bare)
-        closing = CLOSES.fullmatch(mine) is not None
-        while pending and pending[-1][0] >= indent:
-            pending.pop()[1].end_line = number if closing else filled
-        if found := scan_declaration(mine):
-            while outer and outer[-1] >= indent:
-                outer.pop()
-            table.append(Declaration(found[1], found[0], number, number, len(outer)))
-            pending.append((indent, table[-1]))
-            outer.append(indent)
-        filled = number
-    for _, d in pending:
-        d.end_line = filled
-    for d, after in zip(table, [*table[1:], None], strict=False):
-        d.end_line = max(d.start_line, min(d.end_line, after.start_line - 1) if after else d.end_line)
-    return ([] if len(raw) > MAX_FILE_BYTES else table), code, notes
+    raw, masker = content.encode("utf-8", "surrogatepass"), Masker()
+    shown = [masker.render(line) for line in split_lines(raw.decode("latin-1"))]
+    code = [c for c, _ in shown]
+    return (declaration_table(code) if len(raw) <= MAX_FILE_BYTES else []), code, [n for _, n in shown]
 
 
 DECLS = "array<struct<name:string,kind:string,start_line:bigint,end_line:bigint,depth:int>>"

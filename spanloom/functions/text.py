@@ -14,10 +14,11 @@ SEPARATOR = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=[0-9])(?=[^0
 
 
 def lines(content: Column) -> Column:
-    """The array of a text's lines: no line after a final newline, no carriage return before one."""
+    """The array of a text's lines: no line after a final newline, no carriage return directly before a newline or the end."""
     parts = F.split(content, "\r?\n")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda x: F.regexp_replace(x, "\r$", ""))
+    kept = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    last = F.element_at(parts, -1)
+    return F.when(last == "", kept).otherwise(F.concat(kept, F.array(F.regexp_replace(last, r"\r\z", ""))))
 
 
 def indent(line: Column) -> Column:

@@ -49,8 +49,8 @@ def first_nul(content: str = "content") -> Column:
     return F.instr(F.col(content), "\0")
 
 
-def scout(files: DataFrame, queries: list[Query]) -> DataFrame:
-    """Files with a match, with found (line numbers), match_count (capped) and declaration_hint.
+def scout(files: DataFrame, queries: list[Query], masked: bool = False) -> DataFrame:
+    """Files with a match, with found (line numbers), match_count (capped) and declaration_hint. masked: shown isn't lines.
 
     A binary file counts only lines before its first NUL; none there, no file. The hint looks at the first lines that
     match, unmasked: does one declare a name that the patterns match?
@@ -59,9 +59,9 @@ def scout(files: DataFrame, queries: list[Query]) -> DataFrame:
     nul = first_nul()
     before = X.lines(F.substring(F.col("content"), F.lit(1), nul - 1))
     text = F.when(nul == 1, F.array().cast("array<string>")).when(nul > 0, F.zip_with(before, F.slice("shown", 1, F.size(before)), lambda a, b: F.substring(b, F.lit(1), F.length(a)))).otherwise(F.col("shown"))
-    # The scan of whole contents is cheap and spares most files the scan by line.
-    anchored = any(c in q.pattern for q in queries for c in "^$\\[")
-    files = files if anchored else files.filter(F.col("content").rlike(regex))
+    # The scan of whole contents is cheap and spares most files the scan by line. What stands at a line's edge, or is blanked in it, can't be told there.
+    if not masked and not any(q.anchored for q in queries):
+        files = files.filter(F.col("content").rlike(regex))
     files = files.withColumn("found", matching_lines(text, regex)).filter(F.size("found") > 0)
     first = F.transform(F.slice("found", 1, T.HINT_LINES), lambda n: F.element_at("shown", n.cast("int")))
     first = F.filter(first, lambda x: x.rlike(MAY_DECLARE))
@@ -80,9 +80,8 @@ def _terms(q: Query) -> Column:
     return F.array(*map(F.lit, q.terms)).cast("array<string>")
 
 
-
-def candidate_order() -> list[Column]:
-    return [F.desc("declaration_hint"), F.desc("match_count"), F.desc("best_path"), F.asc("path")]
+def candidate_order(keyed: bool = False) -> list[Column]:
+    return [F.desc("declaration_hint"), F.desc("match_count"), F.desc("best_path"), F.asc("path"), *([F.asc("file_key")] if keyed else [])]
 
 
 def _tagged(index: int):

@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import text as X
-from ..functions.declare import code_lines, comment_lines, declared_names, with_declarations
+from ..functions.declare import declared_names, with_declarations
 from ..operators import fetch, match, pack, rank, regions, render
 from ..sources.corpus import from_table, keep_paths
 from . import metrics
 from .options import Options
 from .patterns import compile_patterns
+from .registry import query
 from .search import extract, search
 
-Run = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Run] = {}
-SQL: dict[str, str] = {}
-
 ALL = Options(max_tokens=None)
 FREE = Options(max_tokens=None, ignore_case=True)
 THREE = ["license", "token", "MIT"]
@@ -43,16 +38,6 @@ ISLANDS = (
 )
 
 
-def query(sql: str = "") -> Callable[[Run], Run]:
-    def register(run: Run) -> Run:
-        QUERIES[run.__name__] = run
-        if sql:
-            SQL[run.__name__] = sql
-        return run
-
-    return register
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return from_table(docs, F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")))
@@ -64,14 +49,19 @@ def lined(spark: SparkSession, sf_dir: str, options: Options = ALL) -> DataFrame
 
 def scouted(spark: SparkSession, sf_dir: str, patterns: list[str], options: Options = ALL) -> tuple[DataFrame, list]:
     queries = compile_patterns(spark, patterns, options)
-    return match.candidates(match.scout(lined(spark, sf_dir, options), queries), queries), queries
+    return match.candidates(match.scout(lined(spark, sf_dir, options), queries, options.comments_only), queries), queries
 
 
-def merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
-    """Owned regions of three patterns. The tables hold prose, so the declaration tables are empty."""
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with the windows of three patterns' matches. The tables hold prose, so the declaration tables are empty."""
     files, queries = scouted(spark, sf_dir, THREE)
-    files = with_declarations(match.attributed(files, queries, None))
-    return regions.owned(regions.merge(regions.collapse(regions.windows(files, queries, ALL), 3), 3), 3), queries
+    return regions.windows(with_declarations(match.attributed(files, queries, None)), queries, ALL)
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owned regions of three patterns."""
+    found = regions.merge(windowed(spark, sf_dir), 3)
+    return regions.owned(found.select("path", "lines", F.explode("regions").alias("r")).select("path", "lines", "r.*"), 3)
 
 
 def joined(column: str) -> Column:
@@ -176,25 +166,23 @@ def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f'WITH {WINDOWS} SELECT path, line, q::INT AS q, s AS "start", e AS "end" FROM w')
 def orphan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, queries = scouted(spark, sf_dir, THREE)
-    return regions.windows(with_declarations(match.attributed(files, queries, None)), queries, ALL).select("path", "line", "q", "start", "end")
+    return windowed(spark, sf_dir).select("path", F.explode("windows").alias("w")).select("path", "w.line", "w.q", "w.start", "w.end")
 
 
 @query(f'WITH {ISLANDS} SELECT path, s AS "start", e AS "end", array_to_string(list_sort(list_distinct(lines)), \',\') AS matched, q0::INT AS q0, q1::INT AS q1, q2::INT AS q2 FROM c')
 def region_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, queries = scouted(spark, sf_dir, THREE)
-    out = regions.collapse(regions.windows(with_declarations(match.attributed(files, queries, None)), queries, ALL), 3)
-    return out.withColumn("matched", F.sort_array("matched")).select("path", "start", "end", joined("matched").alias("matched"), *(F.col("per_query")[i].alias(f"q{i}") for i in range(3)))
+    out = regions.collapse(windowed(spark, sf_dir), 3).select("path", F.explode("parts").alias("p")).select("path", "p.*")
+    return out.select("path", "start", "end", joined("match_lines").alias("matched"), *(F.col("per_query")[i].alias(f"q{i}") for i in range(3)))
 
 
 @query(f"WITH {ISLANDS} SELECT path, start_line, end_line, array_to_string(match_lines, ',') AS match_lines FROM r")
 def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merged(spark, sf_dir)[0].select("path", F.col("start").alias("start_line"), F.col("end").alias("end_line"), joined("match_lines").alias("match_lines"))
+    return merged(spark, sf_dir).select("path", F.col("start").alias("start_line"), F.col("end").alias("end_line"), joined("match_lines").alias("match_lines"))
 
 
 @query(f"WITH {ISLANDS} SELECT path, start_line, query_index::INT AS query_index, array_to_string(list_filter([0, 1, 2], lambda i: [q0, q1, q2][i + 1] > 0), ',') AS answered FROM o")
 def region_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merged(spark, sf_dir)[0].select("path", F.col("start").alias("start_line"), "query_index", joined("answered").alias("answered"))
+    return merged(spark, sf_dir).select("path", F.col("start").alias("start_line"), "query_index", joined("answered").alias("answered"))
 
 
 @query(f"WITH {ISLANDS} SELECT p AS pattern FROM (VALUES ('license'), ('zebra-crossing'), ('token')) v(p) WHERE p = 'zebra-crossing'")
@@ -205,8 +193,7 @@ def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ISLANDS} SELECT path, start_line, text FROM sp")
 def span_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = merged(spark, sf_dir)[0].join(lined(spark, sf_dir).select("path", "lines"), "path")
-    return found.select("path", F.col("start").alias("start_line"), regions.span_text(F.col("lines"), F.col("start"), F.col("end")).alias("text"))
+    return merged(spark, sf_dir).select("path", F.col("start").alias("start_line"), regions.span_text(F.col("lines"), F.col("start"), F.col("end")).alias("text"))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
@@ -387,11 +374,6 @@ def declaration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_declarations(code(spark)).select("path", F.explode("decls").alias("d")).select("path", "d.*")
 
 
-@query()
-def mask_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code(spark).select("path", F.posexplode(F.arrays_zip(code_lines("content").alias("code"), comment_lines("content").alias("comments"))).alias("at", "x")).select("path", "at", "x.*")
-
-
 LINE_CASES = ["def plain():", "pub fn two() {", "export default function three() {", "x = 1", "class Four(Base):", "async def five():", "from enum import Enum", "struct Six {", "total = compute(x)", "interface Seven {"]
 
 

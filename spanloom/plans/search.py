@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
@@ -38,53 +38,85 @@ class Result:
 
 
 def extract(files: DataFrame, queries: list[Query], options: Options) -> DataFrame:
-    """The spans of candidate files, scored but for the depth penalty."""
+    """The spans of candidate files, scored but for the depth penalty. Up to the text of each span all happens within a file's row: nothing is shuffled."""
     files = with_declarations(match.attributed(files, queries, options.match_cap))
-    found = regions.owned(regions.merge(regions.collapse(regions.windows(files, queries, options), len(queries)), len(queries)), len(queries))
-    keep = [c for c in ("candidate_rank",) if c in files.columns]
-    spans = found.join(files.select("path", "lines", "shown", "path_scores", *keep), "path")
-    start, end = F.col("start"), F.col("end")
-    spans = spans.withColumn("text", regions.span_text(F.col("lines"), start, end)).withColumnsRenamed({"start": "start_line", "end": "end_line"})
-    if options.columns:
-        columns = F.transform("match_lines", lambda n: match.first_columns(queries, F.element_at("shown", n.cast("int"))))
-        spans = spans.withColumn("match_columns", columns)
+    files = regions.merge(regions.windows(files, queries, options), len(queries))
+    keep = [c for c in ("candidate_rank", "file_key") if c in files.columns]
+
+    def whole(r: Column) -> Column:
+        text = regions.span_text(F.col("lines"), r["start"], r["end"])
+        columns = F.transform(r["match_lines"], lambda n: match.first_columns(queries, F.element_at("shown", n.cast("int"))))
+        more = {"text": text, **({"match_columns": columns} if options.columns else {})}
+        return F.struct(r["start"].alias("start_line"), r["end"].alias("end_line"), *(r[c].alias(c) for c in ("symbol", "kind", "depth", "match_lines", "per_query", "declaring")), *(v.alias(k) for k, v in more.items()))
+
+    # The text is cut before rows are made, so that no row carries its whole file.
+    spans = files.select("path", "path_scores", *keep, F.explode(F.transform("regions", whole)).alias("r")).select("path", "path_scores", *keep, "r.*")
+    spans = regions.owned(spans, len(queries))
     tokens = X.bpe_counter(options.vocabulary)("text") if options.vocabulary else X.token_pieces(F.col("text"))
     spans = spans.withColumn("tokens", tokens).withColumn("query", rank.per_query(queries, lambda q: F.lit(q.pattern)))
-    return rank.scored(spans.drop("lines", "shown"), queries)
+    return rank.scored(spans, queries)
+
+
+def _chosen(files: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The files of ranks (path, file_key, candidate_rank), of checked number."""
+    same = files["path"].eqNullSafe(ranks["path"]) & (files["file_key"] == ranks["file_key"])
+    return files.join(F.broadcast(ranks), same).select(files["path"], files["content"], ranks["candidate_rank"])
+
+
+def _head(files: DataFrame, narrow: DataFrame) -> tuple[DataFrame, int]:
+    """The best T.CHUNK files with their contents, and their number: one scan, as contents up to T.CARRIED bytes travel with the ranking; longer ones are fetched."""
+    spark = files.sparkSession
+    best = narrow.orderBy(*match.candidate_order(True)).limit(T.CHUNK).cache()
+    ranked = best.withColumn("candidate_rank", F.row_number().over(Window.orderBy(*match.candidate_order(True))))
+    n, fetched = best.agg(F.count("*"), F.count_if(F.col("carried").isNull())).first()
+    out = ranked.filter("carried is not null").select("path", F.col("carried").alias("content"), "candidate_rank").repartition(spark.sparkContext.defaultParallelism)
+    if fetched:
+        out = out.unionByName(_chosen(files, ranked.filter("carried is null").select("path", "file_key", "candidate_rank")))
+    return out, n
 
 
 def gathered(files: DataFrame, scouted: DataFrame, queries: list[Query], options: Options) -> DataFrame:
     """Spans of as many of the best files as the budget asks for: the best 256 first, then more while it asks on.
 
-    The best paths are ranked once for two such steps, and meet the files before these are split into lines; the files
-    chosen are kept, so that a second step scans nothing. A pattern that never gets its share asks for all files: beyond
-    T.WIDE of them, paths are no longer gathered and all candidates are ranked and read where they are.
+    The first step needs one scan of the files. For later ones keys are ranked once for two steps and meet the files
+    before these are split into lines; the files chosen are kept, so that a second step scans nothing. A pattern that
+    never gets its share asks for all files: beyond T.WIDE of them, keys are no longer gathered and all candidates are
+    ranked and read where they are. Rows of equal path and content are one file.
     """
     if options.max_tokens is None:
         return extract(scouted, queries, options)
-    n = len(queries)
+    n, spark = len(queries), files.sparkSession
     share = max(1, T.OVERSAMPLE * options.max_tokens // n)
-    size, reach = T.CHUNK, 0
-    narrow = scouted.select("path", "declaration_hint", "match_count", "best_path")
+    key = F.xxhash64("path", "content")
+    files = files.withColumn("file_key", key)
+    carried = F.when(F.octet_length("content") <= T.CARRIED, F.col("content"))
+    narrow = scouted.select("path", key.alias("file_key"), "declaration_hint", "match_count", "best_path", carried.alias("carried"))
+    size, reach, best, kept = T.CHUNK, T.CHUNK, [], None
     while size <= T.WIDE:
-        if size > reach:
-            reach = 4 * size
-            best = [r["path"] for r in narrow.orderBy(*match.candidate_order()).limit(reach).select("path").collect()]
-            ranks = scouted.sparkSession.createDataFrame(list(zip(best, range(1, len(best) + 1), strict=True)), "path string, candidate_rank int")
-            kept = files.join(F.broadcast(ranks), "path").cache()
-        chosen = match.candidates(match.with_lines(kept.filter(F.col("candidate_rank") <= size), options), queries)
-        spans = extract(chosen, queries, options).cache()
-        if len(best) < reach and len(best) <= size:
-            return pack.budget_gate(spans, n, options.max_tokens)
-        spent = {r["query_index"]: r["t"] for r in spans.groupBy("query_index").agg(F.sum("tokens").alias("t")).collect()}
-        if all(spent.get(q, 0) >= share for q in range(n)):
+        if size == T.CHUNK:
+            chosen, count = _head(files, narrow)
+            last = count < T.CHUNK
+        else:
+            if size > reach:
+                reach = 4 * size
+                best = narrow.orderBy(*match.candidate_order(True)).limit(reach).select("path", "file_key").collect()
+                best = list(dict.fromkeys(map(tuple, best)))
+                ranks = spark.createDataFrame([(*x, i) for i, x in enumerate(best, 1)], "path string, file_key long, candidate_rank int")
+                kept = _chosen(files, ranks).cache()
+            chosen = kept.filter(F.col("candidate_rank") <= size)
+            last = len(best) < reach and len(best) <= size
+        spans = extract(match.candidates(match.with_lines(chosen, options), queries), queries, options).cache()
+        if not last:
+            spent = {r["query_index"]: r["t"] for r in spans.groupBy("query_index").agg(F.sum("tokens").alias("t")).collect()}
+        if last or all(spent.get(q, 0) >= share for q in range(n)):
             return pack.budget_gate(spans, n, options.max_tokens)
         spans.unpersist()
         size *= 4
-        if size > reach:
+        if kept is not None and size > reach:
             kept.unpersist()
-    ranks = rank.placed(narrow, [], match.candidate_order(), "candidate_rank").select("path", "candidate_rank")
-    return cut(pack.budget_gate(cut(extract(scouted, queries, options).join(ranks, "path")), n, options.max_tokens))
+    ranks = rank.placed(narrow.drop("carried").distinct(), [], match.candidate_order(True), "candidate_rank").select("path", "file_key", "candidate_rank")
+    spans = extract(scouted.withColumn("file_key", key), queries, options)
+    return cut(pack.budget_gate(cut(spans.join(ranks.withColumnsRenamed({"path": "__sl_path"}), "file_key").filter(F.col("path").eqNullSafe(F.col("__sl_path"))).drop("file_key", "__sl_path")), n, options.max_tokens))
 
 
 COLUMNS = ["path", "start_line", "end_line", "symbol", "kind", "match_lines", "match_columns", "is_declaration", "depth", "query", "tokens", "score", "why", "text"]
@@ -96,7 +128,7 @@ def search(corpus: DataFrame, patterns: list[str], options: Options = Options())
     files = match.path_filters(corpus.select("path", "content"), options)
     if options.paths is not None:
         files = keep_paths(files, list(options.paths))
-    scouted = match.candidates(match.scout(match.with_lines(files, options), queries), queries)
+    scouted = match.candidates(match.scout(match.with_lines(files, options), queries, options.comments_only), queries)
     found = gathered(files, scouted, queries, options)
     spans = rank.shadowed(found)
     unmatched: list[str] = []

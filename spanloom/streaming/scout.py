@@ -21,5 +21,5 @@ def watch(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFram
 def scout_stream(files: DataFrame, patterns: list[str], options: Options = Options()) -> DataFrame:
     """(path, match_count, declaration_hint) of each file that matches: no state, so a stream of any length."""
     queries = compile_patterns(files.sparkSession, patterns, options)
-    found = match.scout(match.with_lines(match.path_filters(files, options), options), queries)
+    found = match.scout(match.with_lines(match.path_filters(files, options), options), queries, options.comments_only)
     return found.select("path", "match_count", "declaration_hint")
