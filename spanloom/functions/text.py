@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column
@@ -134,26 +137,36 @@ def token_pieces(text: Column, exact: bool = False) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(T.TOKEN_PIECES_EXACT if exact else T.TOKEN_PIECES), F.lit(0))).cast("long")
 
 
-_encodings: dict[str, object] = {}
+def ranks_of(path: str) -> dict[bytes, int]:
+    """The ranks of a `.tiktoken` vocabulary file, read where the search is planned."""
+    with open(path, "rb") as file:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in file if x.strip())}
 
 
-def bpe_counter(vocabulary: str):
-    """Counts tokens of a `.tiktoken` vocabulary file, as a pandas UDF."""
+_encodings: dict[bytes, object] = {}
 
-    def load():
-        if vocabulary not in _encodings:
-            import base64
 
+def bpe_counter(vocabulary: str | dict[bytes, int], limit: int | None = None):
+    """Counts tokens by a vocabulary (its ranks, or the path of a `.tiktoken` file), `limit` standing for more, as a pandas UDF.
+
+    The ranks travel with the function, so that no executor reads a local file.
+    """
+    ranks = ranks_of(vocabulary) if isinstance(vocabulary, str) else vocabulary
+    packed = zlib.compress(b"\n".join(base64.b64encode(k) + b" %d" % v for k, v in ranks.items()))
+    mark = hashlib.sha256(packed).digest()
+
+    def load():
+        if mark not in _encodings:
             import tiktoken
 
-            with open(vocabulary, "rb") as file:
-                ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in file if x.strip())}
-            _encodings[vocabulary] = tiktoken.Encoding("vocabulary", pat_str=T.TOKEN_PIECES_EXACT, mergeable_ranks=ranks, special_tokens={})
-        return _encodings[vocabulary]
+            own = {base64.b64decode(a): int(b) for a, b in (x.split() for x in zlib.decompress(packed).split(b"\n") if x)}
+            _encodings[mark] = tiktoken.Encoding("vocabulary", pat_str=T.TOKEN_PIECES_EXACT, mergeable_ranks=own, special_tokens={})
+        return _encodings[mark]
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         e = load()
-        return pd.Series([None if t is None else len(e.encode_ordinary(t)) for t in texts], dtype="Int64")
+        most = (lambda n: n) if limit is None else (lambda n: min(n, limit))
+        return pd.Series([None if t is None else most(len(e.encode_ordinary(t))) for t in texts], dtype="Int64")
 
     return count

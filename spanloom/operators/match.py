@@ -16,6 +16,11 @@ from ..plans.patterns import Query, scout_regex
 MAY_DECLARE = rf"\b(?:{'|'.join(sorted(T.KEYWORDS))})\b|[{{=]"
 
 
+def computed(column: Column) -> Column:
+    """column, evaluated once where it stands: a filter on it isn't pushed below, which would evaluate it anew there, as the condition (always true) depends on the task."""
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def path_filters(files: DataFrame, options: Options) -> DataFrame:
     """Filters on paths alone, which come before any content is looked at."""
     path = F.col("path")
@@ -62,7 +67,7 @@ def scout(files: DataFrame, queries: list[Query], masked: bool = False) -> DataF
     # The scan of whole contents is cheap and spares most files the scan by line. What stands at a line's edge, or is blanked in it, can't be told there.
     if not masked and not any(q.anchored for q in queries):
         files = files.filter(F.col("content").rlike(regex))
-    files = files.withColumn("found", matching_lines(text, regex)).filter(F.size("found") > 0)
+    files = files.withColumn("found", computed(matching_lines(text, regex))).filter(F.size("found") > 0)
     first = F.transform(F.slice("found", 1, T.HINT_LINES), lambda n: F.element_at("shown", n.cast("int")))
     first = F.filter(first, lambda x: x.rlike(MAY_DECLARE))
     files = files.withColumn("match_count", F.least(F.size("found"), F.lit(T.MATCH_CAP)))
@@ -95,7 +100,7 @@ def attributed(files: DataFrame, queries: list[Query], cap: int | None) -> DataF
         own = matching_lines("shown", q.regex)
         own = F.slice(own, 1, cap) if cap else own
         each.append(F.transform(own, _tagged(q.index)))
-    return files.withColumn("matches", F.concat(*each)).filter(F.size("matches") > 0)
+    return files.withColumn("matches", computed(F.concat(*each))).filter(F.size("matches") > 0)
 
 
 def first_columns(queries: list[Query], line: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.options import Options
 from ..plans.patterns import Query
+from .match import computed
 
 
 def enclosing(decls: Column, line: Column) -> Column:
@@ -45,7 +46,7 @@ def windows(files: DataFrame, queries: list[Query], options: Options) -> DataFra
         declares = (start == line) & F.coalesce(kind != "impl", F.lit(False)) & hit
         return F.struct(start.alias("start"), end.alias("end"), line.alias("line"), m["q"].alias("q"), symbol.alias("symbol"), kind.alias("kind"), F.when(named, d["depth"]).otherwise(0).alias("depth"), declares.alias("declares"))
 
-    return files.withColumn("windows", F.array_sort(F.transform(F.array_distinct("matches"), one)))
+    return files.withColumn("windows", computed(F.array_sort(F.transform(F.array_distinct("matches"), one))))
 
 
 def _parts(found: Column, n_queries: int) -> dict[str, Column]:
@@ -88,7 +89,7 @@ def collapse(files: DataFrame, n_queries: int) -> DataFrame:
         own = F.filter("windows", lambda w: same(w, k))
         return F.struct(k["start"].alias("start"), k["end"].alias("end"), k["symbol"].isNotNull().alias("has_symbol"), *(v.alias(n) for n, v in _parts(own, n_queries).items()))
 
-    return files.withColumn("parts", F.transform(keys, one))
+    return files.withColumn("parts", computed(F.transform(keys, one)))
 
 
 def merge(files: DataFrame, n_queries: int) -> DataFrame:
@@ -99,7 +100,7 @@ def merge(files: DataFrame, n_queries: int) -> DataFrame:
         end = F.array_max(F.transform(run, lambda w: w["end"]))
         return F.struct(F.element_at(run, 1)["start"].alias("start"), end.alias("end"), lead["symbol"].alias("symbol"), lead["kind"].alias("kind"), F.coalesce(lead["depth"], F.lit(0)).alias("depth"), *(v.alias(n) for n, v in _parts(run, n_queries).items()))
 
-    return files.withColumn("regions", F.transform(_runs(F.col("windows"), lambda s, w: w["start"] > s["end"]), one))
+    return files.withColumn("regions", computed(F.transform(_runs(F.col("windows"), lambda s, w: w["start"] > s["end"]), one)))
 
 
 def owned(regions: DataFrame, n_queries: int) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,7 @@ PYTHON = (
     ),
     Block(("handle_@ = lambda req: load_@(req.token)", "LIMIT = [", "    1, 2,", "]", ""), ((1, 1, "handle_@", "function", 0),)),
     Block(("def long_@():", *("    step()" if k != 16 else "    step(token)" for k in range(34)), ""), ((1, 35, "long_@", "def", 0),)),
-    Block(("import token", "", "print('no', 'load_@')", *[""] * 9), codes=((3, "print(    ,         )"),)),
+    Block(("import token", "", "print('no', start_@, 'load_@')", *[""] * 9), codes=((3, "print(    , start_@,         )"),)),
 )
 RUST = (
     Block(
@@ -52,7 +52,7 @@ SCRIPT = (
         ((3, 3, "Store_@", "class", 0), (4, 6, "load_@", "function", 1)),
         ((1, "/* token"), (2, "   block */"), (5, "                     // token")),
     ),
-    Block(("export default function start_@(token) {", "  if (ready(token)) {", "    load_@(token);", "  }", "}"), ((1, 5, "start_@", "function", 0),)),
+    Block(("export default function start_@(token) {", "  if (ready(token)) {", "    handle_@(token) || load_@(token);", "  }", "}"), ((1, 5, "start_@", "function", 0),)),
 )
 OTHER = (
     Block(("#include <token.h>", "static int load_@(const char *path) {", "  return parse_@(path); /* token */", "}", ""), ((2, 4, "load_@", "function", 0),), ((3, "                        /* token */"),)),
@@ -64,15 +64,22 @@ FOLDERS = ("src/app", "lib/load", "tests", "src/store")
 MOST = 5
 
 
-def files(rows: DataFrame) -> DataFrame:
-    """(path, content): a file for each row of (doc_id)."""
+NAMES = ("load", "store_", "load_store", "main")
+
+
+def path_of(doc_id: int) -> str:
+    return f"{FOLDERS[doc_id // 4 % len(FOLDERS)]}/{NAMES[doc_id // 16 % len(NAMES)]}_{doc_id}{LANGUAGES[doc_id % len(LANGUAGES)][0]}"
+
+
+def files(rows: DataFrame, number: Column | None = None) -> DataFrame:
+    """(path, content): a file for each row of (doc_id). number stands in its names, the last digit of doc_id by default."""
     d = F.col("doc_id")
     at = lambda options, i: F.element_at(F.array(*map(F.lit, options)), (i % len(options) + 1).cast("int"))
-    number = (d % 10).cast("string")
+    number = (d % 10 if number is None else number).cast("string")
     path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, (ending, blocks) in enumerate(LANGUAGES):
         mine = d % len(LANGUAGES) == k
-        name = F.concat(at(FOLDERS, F.floor(d / 4)), F.lit("/"), at(("load", "store_", "load_store", "main"), F.floor(d / 16)), F.lit("_"), d.cast("string"), F.lit(ending))
+        name = F.concat(at(FOLDERS, F.floor(d / 4)), F.lit("/"), at(NAMES, F.floor(d / 16)), F.lit("_"), d.cast("string"), F.lit(ending))
         texts = ["\n".join(b.text) + "\n" for b in blocks]
         parts = [F.when(d % MOST >= j, at(texts, d * 7 + j * 3)).otherwise("") for j in range(MOST)]
         path = F.coalesce(path, F.when(mine, name))
@@ -89,7 +96,7 @@ def _each() -> list[tuple[int, int, Block]]:
     return [(k, t, b) for k, (_, blocks) in enumerate(LANGUAGES) for t, b in enumerate(blocks)]
 
 
-def relations() -> str:
+def relations(number: str = "doc_id % 10") -> str:
     """CTEs code_files (path, doc_id), code_lines (path, line_no, text), code_decls (path, start_line, end_line, name, kind, depth) and code_notes (path, line_no, text: comments alone) and code_bare (lines with literals, these blanked)."""
     counts = _values([(k, len(blocks), ending) for k, (ending, blocks) in enumerate(LANGUAGES)])
     folders = _values([(i, f) for i, f in enumerate(FOLDERS)])
@@ -100,7 +107,7 @@ def relations() -> str:
     return f"""cb_langs(k, blocks, ending) AS (VALUES {counts}), cb_folders(i, folder) AS (VALUES {folders}),
  cb_lines(k, t, n, text) AS (VALUES {lines}), cb_decls(k, t, a, z, name, kind, depth) AS (VALUES {decls}), cb_notes(k, t, n, text) AS (VALUES {notes}), cb_codes(k, t, n, text) AS (VALUES {codes}),
  cb_size AS (SELECT k, t, count(*) AS size FROM cb_lines GROUP BY ALL),
- cb_blocks AS (SELECT doc_id, l.k, j.j, (doc_id * 7 + j.j * 3) % l.blocks AS t, folder || '/' || ['load', 'store_', 'load_store', 'main'][((doc_id // 16) % 4 + 1)::INT] || '_' || doc_id || ending AS path, (doc_id % 10)::VARCHAR AS num
+ cb_blocks AS (SELECT doc_id, l.k, j.j, (doc_id * 7 + j.j * 3) % l.blocks AS t, folder || '/' || {list(NAMES)}[((doc_id // 16) % 4 + 1)::INT] || '_' || doc_id || ending AS path, ({number})::VARCHAR AS num
    FROM documents JOIN cb_langs l ON l.k = doc_id % {len(LANGUAGES)} JOIN cb_folders ON i = (doc_id // 4) % {len(FOLDERS)}, (SELECT unnest(range({MOST})) AS j) j WHERE doc_id % {MOST} >= j.j),
  cb_placed AS (SELECT b.*, 1 + coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM cb_blocks b JOIN cb_size s ON s.k = b.k AND s.t = b.t),
  code_files AS (SELECT DISTINCT path, doc_id FROM cb_blocks),

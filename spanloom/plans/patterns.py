@@ -64,7 +64,7 @@ def _property(piece: str) -> str:
 
 
 def _flags(text: str) -> str:
-    on, off, _ = (text + "-").split("-", 2)
+    on, _, off = text.partition("-")
     if set(on + off) - set("imsxu"):
         raise ValueError(f"(?{text}) is not supported")
     of = lambda x: "".join({"i": "iu", "u": "U"}.get(c, c) for c in x)

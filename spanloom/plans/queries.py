@@ -11,9 +11,10 @@ from ..functions.declare import declared_names, with_declarations
 from ..operators import fetch, match, pack, rank, regions, render
 from ..sources.corpus import from_table, keep_paths
 from . import metrics
+from .code_queries import filled
 from .options import Options
 from .patterns import compile_patterns
-from .registry import query
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .search import extract, search
 
 ALL = Options(max_tokens=None)
@@ -115,10 +116,34 @@ def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.attributed(files, queries, T.HINT_LINES).select("path", F.explode("matches").alias("m")).select("path", "m.line")
 
 
-@query("SELECT DISTINCT p_type AS name, array_to_string(list_filter(string_split_regex(lower(p_type), '[^a-z0-9]+'), lambda x: x <> ''), ',') AS parts FROM part")
+#: A name in one of four styles, from the words of a column.
+STYLED = """styled AS (SELECT DISTINCT p_partkey % 4 AS style, string_split(p_name, ' ') AS words, p_size::VARCHAR AS num FROM part),
+ named AS (SELECT *, CASE style WHEN 0 THEN array_to_string(list_transform(words, lambda w: upper(w[1]) || w[2:]), '') || num WHEN 1 THEN words[1] || array_to_string(list_transform(words[2:], lambda w: upper(w[1]) || w[2:]), '') || num || 'Id'
+   WHEN 2 THEN upper(words[1]) || upper(words[2][1]) || words[2][2:] || '-' || num ELSE '__' || array_to_string(words, '_') || '__' || num END AS name,
+   CASE style WHEN 0 THEN list_append(words, num) WHEN 1 THEN list_concat(words, [num, 'id']) WHEN 2 THEN [words[1], words[2], num] ELSE list_append(words, num) END AS parts FROM styled)"""
+
+
+def styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 4).alias("style"), F.split("p_name", " ").alias("words"), F.col("p_size").cast("string").alias("num")).distinct()
+    title = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 99))
+    titled = F.transform("words", title)
+    first, second = F.element_at("words", 1), F.element_at("words", 2)
+    rest = F.array_join(F.slice(titled, F.lit(2), F.size(titled)), "")
+    styles = [F.concat(F.array_join(titled, ""), "num"), F.concat(first, rest, "num", F.lit("Id")), F.concat(F.upper(first), title(second), F.lit("-"), "num"), F.concat(F.lit("__"), F.array_join("words", "_"), F.lit("__"), "num")]
+    return part.select(F.coalesce(*(F.when(F.col("style") == k, x) for k, x in enumerate(styles))).alias("name"))
+
+
+@query(f"WITH {STYLED} SELECT name, array_to_string(parts, ',') AS parts FROM named")
 def identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower("p_type").alias("low"), F.col("p_type").alias("name")).distinct()
-    return part.select("name", F.array_join(X.identifier_parts(F.col("low")), ",").alias("parts"))
+    """Camel, Pascal, acronym, kebab and snake names with digits."""
+    return styled(spark, sf_dir).select("name", F.array_join(X.identifier_parts(F.col("name")), ",").alias("parts"))
+
+
+@query(f"WITH {STYLED} SELECT name, array_to_string(CASE WHEN style = 2 THEN [words[1], words[2], words[1] || words[2], num, 'x'] ELSE list_append(list_append(parts, lower(name)), 'x') END, ',') AS terms FROM named WHERE num = '7'")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of patterns: parts first, then the whole, each once. Patterns are few and split where they are given."""
+    names = [r[0] for r in styled(spark, sf_dir).filter(F.col("name").rlike(r"(?<![0-9])7(?:Id)?$")).collect()]
+    return spark.createDataFrame([(n, ",".join(X.query_terms(f"{n}[.]x {n}"))) for n in names], "name string, terms string")
 
 
 @query(f"WITH {DOCS} SELECT path, CASE WHEN regexp_matches(path, '/doc_7[.]txt$') THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM docs")
@@ -151,11 +176,11 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.path_filters(named(spark, sf_dir), Options(globs=("*.py", "*.ts", "!lib/**"))).select("doc_id", "path")
 
 
-@query(f"WITH {DOCS} SELECT path FROM docs WHERE path LIKE 'src1/en/%'")
+@query(f"WITH {DOCS}, wanted AS (SELECT 'src' || s || '/en/doc_' || i || '.txt' AS path FROM range(20) a(s), range(300) b(i) WHERE (s + i) % 3 = 0) SELECT path FROM docs SEMI JOIN wanted USING (path)")
 def path_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus(spark, sf_dir).select("path")
-    ids = [r[0] for r in files.filter(F.col("path").startswith("src1/en/")).collect()]
-    return keep_paths(files, ["./" + p for p in ids] + ids + ["not/there.txt"])
+    """A given list, with repeats, other spellings and paths that aren't there."""
+    wanted = [f"src{s}/en/doc_{i}.txt" for s in range(20) for i in range(300) if (s + i) % 3 == 0]
+    return keep_paths(corpus(spark, sf_dir).select("path"), ["./" + p for p in wanted] + wanted + ["not/there.txt"])
 
 
 @query(f"WITH {LINES} SELECT path, count(*)::INT AS match_count, row_number() OVER (ORDER BY count(*) DESC, path)::INT AS candidate_rank FROM l WHERE regexp_matches(text, 'license|token|MIT') GROUP BY path QUALIFY candidate_rank <= 256")
@@ -185,9 +210,12 @@ def region_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(spark, sf_dir).select("path", F.col("start").alias("start_line"), "query_index", joined("answered").alias("answered"))
 
 
-@query(f"WITH {ISLANDS} SELECT p AS pattern FROM (VALUES ('license'), ('zebra-crossing'), ('token')) v(p) WHERE p = 'zebra-crossing'")
+ASKED = ["license", "zebra-crossing", "token", "Lorem ipsum", "MIT", "the"]
+
+
+@query(f"WITH {LINES}, p AS (SELECT unnest({ASKED}) AS pattern) SELECT pattern FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE contains(text, pattern))")
 def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search(corpus(spark, sf_dir), ["license", "zebra-crossing", "token"], ALL)
+    found = search(corpus(spark, sf_dir), ASKED, ALL)
     return spark.createDataFrame([(p,) for p in found.unmatched], "pattern string")
 
 
@@ -209,11 +237,11 @@ def span_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANKED = "row_number() OVER (ORDER BY round(score, 9) DESC, path, start_line)"
 
 
-@query(f"WITH {ISLANDS} SELECT path, start_line, end_line, {RANKED}::INT AS place FROM sc QUALIFY place <= 256")
+@query(f"WITH {ISLANDS} SELECT path, start_line, end_line, {RANKED} AS place FROM sc")
 def span_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.desc("is_declaration"), F.desc("score"), F.asc("path"), F.asc("start_line")]
-    best = spans(spark, sf_dir)[0].withColumn("score", F.round("score", 9)).orderBy(*order).limit(T.CHUNK)
-    return best.select("path", "start_line", "end_line", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    """The place of every span in the final order, however many there are."""
+    found = spans(spark, sf_dir)[0].withColumn("score", F.round("score", 9))
+    return rank.placed(found, [], rank.span_order(), "place").select("path", "start_line", "end_line", "place")
 
 
 @query(f"WITH {ISLANDS} SELECT path, start_line, query_index::INT AS query_index, row_number() OVER (PARTITION BY query_index ORDER BY round(score, 9) DESC, path, start_line)::INT AS lane FROM sc")
@@ -236,20 +264,16 @@ def costed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("source").alias("path"), F.floor(F.col("n_chars") / 4).alias("tokens"), (F.col("doc_id") % 3 != 0).alias("is_declaration"))
 
 
-def filling(cap: int, most: int) -> str:
-    return f"""WITH RECURSIVE {COSTED}, t AS (
-        SELECT 0::BIGINT AS n, 0::BIGINT AS used, []::VARCHAR[] AS got, false AS took UNION ALL
-        SELECT d.n, CASE WHEN ok THEN used + cost ELSE used END, CASE WHEN ok THEN list_append(got, path) ELSE got END, ok
-        FROM (SELECT d.*, t.used, t.got, t.used < {most} AND t.used + cost <= {most} AND len(list_filter(t.got, lambda x: x = path)) < {cap} AS ok FROM t JOIN d ON d.n = t.n + 1) d)
-        SELECT doc_id, path, cost AS tokens FROM t JOIN d USING (n) WHERE took"""
+def filling(cap: int, most: int, floor: int, shown: str) -> str:
+    return f"WITH RECURSIVE {COSTED}, src AS (SELECT n AS place, doc_id, path, cost AS tokens, decl AS is_declaration FROM d), {filled('src', most, cap, floor)} SELECT {shown} FROM src JOIN taken USING (place)"
 
 
-@query(filling(3, 9000))
+@query(filling(3, 9000, 0, "doc_id, path, tokens"))
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(costed(spark, sf_dir), 9000, 3, 0, [F.asc("doc_id")]).select("doc_id", "path", "tokens")
 
 
-@query()
+@query(filling(3, 9000, 12, "doc_id, path, tokens, is_declaration"))
 def min_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(costed(spark, sf_dir), 9000, 3, 12, [F.asc("doc_id")]).select("doc_id", "path", "tokens", "is_declaration")
 
@@ -260,7 +284,7 @@ def min_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         f AS (SELECT min(batch) AS stop FROM (SELECT batch FROM g GROUP BY batch HAVING min(total) >= 16000))
         SELECT doc_id, cost AS tokens FROM b, f WHERE stop IS NULL OR batch <= stop""")
 def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = costed(spark, sf_dir).withColumn("candidate_rank", F.row_number().over(Window.orderBy("doc_id")))
+    ranked = rank.placed(costed(spark, sf_dir), [], [F.asc("doc_id")], "candidate_rank")
     ranked = ranked.withColumn("query_index", (F.col("candidate_rank") % 2).cast("int"))
     return pack.budget_gate(ranked, 2, 8000).select("doc_id", "tokens")
 
@@ -273,19 +297,10 @@ def asof_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.asof_join(lines.filter(F.col("text").contains("the")), decls).select("path", "line_no", "name", "start_line")
 
 
-@query(f"WITH {LINES} SELECT path || ':1-3' AS anchor, array_to_string(lines[1:3], chr(10)) AS text, least(3, len(lines))::BIGINT AS end_line FROM ls WHERE contains(array_to_string(lines, ' '), 'token')")
-def fetch_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What one looks at first: the opening lines of every file that a search names."""
-    files, _ = scouted(spark, sf_dir, ["token"])
-    anchors = [r[0] for r in files.select(F.concat("path", F.lit(":1-3"))).collect()]
-    out = fetch.fetch(corpus(spark, sf_dir), anchors, None)
-    return out.select(F.concat("path", F.lit(":1-3")).alias("anchor"), "text", "end_line")
-
-
-@query(f"WITH {LINES} SELECT path, line_no AS line, strlen(text[:strpos(text, 'token') - 1]) + 1 AS col, text FROM l WHERE contains(text, 'token')")
+@query(f"WITH {LINES}, x AS (SELECT path, line_no AS line, strlen(text[:strpos(text, 'token') - 1]) + 1 AS col, text FROM l WHERE contains(text, 'token')) SELECT *, 'top/' || path || ':' || line || ':' || col || ':' || text AS rendered FROM x")
 def vimgrep(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(corpus(spark, sf_dir), ["token"], Options(max_tokens=None, columns=True))
-    return render.vimgrep(found.spans).select("path", "line", "col", "text")
+    return render.vimgrep(found.spans, "top").select("path", "line", "col", "text", "rendered")
 
 
 @query(f"WITH {ISLANDS} SELECT path, start_line, end_line, query, is_declaration FROM (SELECT *, ['license', 'token', 'MIT'][query_index + 1] AS query, false AS is_declaration FROM sc)")
@@ -299,12 +314,88 @@ def token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("path", X.token_pieces(F.col("content")).alias("pieces"))
 
 
+#: Where white space of several characters stands before a digit, its last character is a piece of its own; before other signs too, if it is no space.
+SPACED = DOCS + ", sp AS (SELECT path, replace(replace(content, ' a', '   7'), ' e', ' ' || chr(9) || '!') AS content FROM docs)"
+
+
+@query(f"WITH {SPACED} SELECT path, len(regexp_extract_all(content, '{T.TOKEN_PIECES.replace(chr(39), chr(39) * 2)}')) + len(regexp_extract_all(content, '[ \\t]{{2,}}\\pN')) + len(regexp_extract_all(content, '[ \\t]*[ \\t]\\t[^\\s\\pL\\pN]')) AS pieces FROM sp")
+def token_pieces_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published split with its look-ahead."""
+    spaced = F.replace(F.replace("content", F.lit(" a"), F.lit("   7")), F.lit(" e"), F.lit(" \t!"))
+    return corpus(spark, sf_dir).select("path", X.token_pieces(spaced, exact=True).alias("pieces"))
+
+
+@query(f"WITH {DOCS}, n AS (SELECT path, strlen(content) - len(regexp_extract_all(content, 'th')) - len(regexp_extract_all(content, 'the')) AS tokens FROM docs) SELECT path, tokens, least(tokens, 100) AS capped FROM n")
+def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts by a vocabulary: all bytes, and two merges."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"th": 256, b"the": 257}
+    files = corpus(spark, sf_dir)
+    return files.select("path", X.bpe_counter(ranks)("content").alias("tokens"), X.bpe_counter(ranks, 100)("content").alias("capped"))
+
+
+ENDS = DOCS + ", ends AS (SELECT path, replace(replace(replace(content, ' a', chr(13) || chr(13) || chr(10) || 'a'), ' e', chr(13) || chr(10) || 'e'), ' i', chr(13) || 'i') || chr(13) AS content FROM docs)"
+
+
+@query(f"WITH {ENDS}, s AS (SELECT path, list_transform(string_split(content, chr(10)), lambda x: CASE WHEN ends_with(x, chr(13)) THEN x[:-2] ELSE x END) AS x FROM ends) SELECT path, unnest(x) AS text, generate_subscripts(x, 1) AS line_no FROM s")
+def line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One carriage return goes at a line's end, others stay, and a lone one parts no lines."""
+    files = corpus(spark, sf_dir)
+    for old, new in ((" a", "\r\r\na"), (" e", "\r\ne"), (" i", "\ri")):
+        files = files.withColumn("content", F.replace("content", F.lit(old), F.lit(new)))
+    return match.line_table(match.with_lines(files.withColumn("content", F.concat("content", F.lit("\r"))), ALL))
+
+
+ODD = LINES.replace("docs AS (SELECT source", "docs AS (SELECT source", 1).replace("text AS content", "replace(replace(replace(text, ' m', chr(8232) || 'm'), ' d', ' δ'), ' s', chr(133) || 's') AS content")
+#: Patterns of the same meaning in SQL's engine.
+DIALECT = ["(?P<first>[[:upper:]])[[:lower:]]+.m", r"\p{Greek}[a-z]{3}", "e.s", r"(?i)THE\x20[[:^digit:]]", r"^[A-Z][^\x20]*[!-/]?\pL+", r"[[:alpha:]]s[.]$"]
+
+
+@query(f"WITH {ODD}, p AS (SELECT unnest({DIALECT}) AS pattern) SELECT pattern, path, line_no FROM l, p WHERE regexp_matches(text, pattern)".replace("\\\\", "\\"))
+def regex_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bracket classes, scripts, named groups, dots and ends of lines beside odd separators."""
+    files = corpus(spark, sf_dir)
+    for old, new in ((" m", "\u2028m"), (" d", " δ"), (" s", "\u0085s")):
+        files = files.withColumn("content", F.replace("content", F.lit(old), F.lit(new)))
+    out = None
+    for pattern in DIALECT:
+        queries = compile_patterns(spark, [pattern], ALL)
+        found = match.scout(match.with_lines(files, ALL), queries)
+        one = found.select(F.lit(pattern).alias("pattern"), "path", F.explode("found").alias("line_no"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SAME = "docs AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'same.txt' WHEN 1 THEN source || '.txt' END AS path, text AS content FROM documents WHERE text <> '')"
+
+
+@query(f"""WITH {SAME}, ls AS (SELECT doc_id, path, CASE WHEN s[-1] = '' THEN s[:-2] ELSE s END AS lines FROM (SELECT doc_id, path, string_split_regex(content, '\\r?\\n') AS s FROM docs)),
+        l AS (SELECT doc_id, path, unnest(lines) AS text, generate_subscripts(lines, 1) AS line_no, len(lines) AS total FROM ls),
+        w AS (SELECT doc_id, path, line_no AS line, greatest(1, line_no - 2) AS s, least(line_no + 2, total) AS e FROM l WHERE regexp_matches(text, 'the|token')),
+        f AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh FROM w),
+        g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f),
+        r AS (SELECT doc_id, path, min(s) AS start_line, max(e) AS end_line, list_sort(list(DISTINCT line)) AS m FROM g GROUP BY doc_id, path, island)
+        SELECT r.path, start_line, end_line, array_to_string(m, ',') AS match_lines, array_to_string(lines[start_line:end_line], chr(10)) AS text FROM r JOIN ls USING (doc_id)""".replace("\\\\", "\\"))
+def repeated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share a path, or have none, are files of their own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.when(F.col("doc_id") % 3 == 0, "same.txt").when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit(".txt")))
+    found = search(from_table(docs, path), ["the|token"], Options(max_tokens=None, orphan_context=2))
+    return found.spans.select("path", "start_line", "end_line", joined("match_lines").alias("match_lines"), "text")
+
+
 @query(f"WITH {ISLANDS} SELECT path, start_line, end_line, array_to_string(match_lines, ',') AS match_lines, ['license', 'token', 'MIT'][query_index + 1] AS query, round(score, 6) AS score, text FROM sc")
 def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(corpus(spark, sf_dir), THREE, ALL).spans.select("path", "start_line", "end_line", joined("match_lines").alias("match_lines"), "query", F.round("score", 6).alias("score"), "text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ISLANDS}, mc AS (SELECT path, row_number() OVER (ORDER BY least(count(DISTINCT line), 512) DESC, path) AS candidate_rank FROM m GROUP BY path),
+        ts AS (SELECT sc.*, len(regexp_extract_all(text, '{T.TOKEN_PIECES.replace(chr(39), chr(39) * 2)}'))::BIGINT AS tokens, (candidate_rank - 1) // 8 AS batch FROM sc JOIN mc USING (path)),
+        su AS (SELECT batch, query_index, sum(tokens) AS t FROM ts GROUP BY ALL),
+        gr AS (SELECT x.batch, q, sum(coalesce(t, 0)) OVER (PARTITION BY q ORDER BY x.batch) AS total FROM (SELECT DISTINCT batch FROM ts) x CROSS JOIN range(3) y(q) LEFT JOIN su ON su.batch = x.batch AND su.query_index = q),
+        ha AS (SELECT min(batch) AS stop FROM (SELECT batch FROM gr GROUP BY batch HAVING min(total) >= 5333)),
+        la AS (SELECT *, row_number() OVER (PARTITION BY query_index ORDER BY round(score, 9) DESC, path, start_line) AS lane FROM ts, ha WHERE stop IS NULL OR batch <= stop),
+        src AS (SELECT *, row_number() OVER (ORDER BY lane, query_index) AS place, false AS is_declaration FROM la), {filled("src", 4000, 3)}
+        SELECT path, start_line, end_line, ['license', 'token', 'MIT'][query_index + 1] AS query, tokens, round(score, 6) AS score FROM src JOIN taken USING (place)""")
 def search_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(corpus(spark, sf_dir), THREE, Options(max_tokens=4000)).spans.select("path", "start_line", "end_line", "query", "tokens", F.round("score", 6).alias("score"))
 
