@@ -4,12 +4,17 @@ An Aho-Corasick automaton locates the magic bytes of all formats in one pass ove
 the format then walks its structure and tells its exact length, or refuses. What stands at offset 0 gives the actual
 type, whatever the declared type says; valid media at other offsets are carved.
 
+Media may stand within others; each is found by itself, and carve() cuts its bytes out. A validator's cost doesn't grow
+with the number of magic bytes, but for PNG's checksums and gzip streams, which are read from each place they begin at.
+
 Null bytes are of unknown type with nothing to carve. Rows are independent; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,16 +26,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 UNKNOWN = "application/octet-stream"
 #: Samples in a row of the stored images; payloads are multiples of it.
 ROW = 576
 
 
-def _png(d: bytes, at: int) -> int | None:
-    i = at + 8
+class Blob:
+    """Bytes with what several validators ask of them, found once: places of marks, and walks that lead to the same place.
+
+    A walk goes from place to place by what stands there, so two that meet go on together. What one found out holds for
+    all that come to a place it passed, and a blob full of magic bytes costs no more than one walk through it.
+    """
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._marks: dict[bytes, list[int]] = {}
+        self._known: dict[tuple, int | None] = {}
+        self._chains: list[tuple[set[int], int | None, int]] = []
+        self._chain_of: dict[int, int] = {}
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from `at` on; -1 for none."""
+        if mark not in self._marks:
+            self._marks[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        places = self._marks[mark]
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def next_jpeg_marker(self, at: int) -> int:
+        """The first marker from `at` on that isn't part of coded data."""
+        if b"jpeg" not in self._marks:
+            x = np.frombuffer(self.data, np.uint8)
+            self._marks[b"jpeg"] = np.flatnonzero((x[:-1] == 255) & (x[1:] != 0) & ((x[1:] < 0xD0) | (x[1:] > 0xD7))).tolist()
+        places = self._marks[b"jpeg"]
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def walk(self, kind: str, state: object, step: Callable[[object], tuple[object, int | None, bool]]) -> int | None:
+        """Where a walk ends, None if nowhere. step(state): the next state, or the end found, and whether it is over."""
+        passed = []
+        while (kind, state) not in self._known:
+            passed.append(state)
+            state, end, over = step(state)
+            if over:
+                break
+        else:
+            end = self._known[kind, state]
+        self._known.update({(kind, x): end for x in passed})
+        return end
+
+    def on_chain(self, start: int, end: int, after: Callable[[int], int]) -> bool:
+        """Whether the chain of places from start passes end."""
+        if start not in self._chain_of:
+            own, i = set(), start
+            while i < len(self.data) and i not in self._chain_of and i not in own:
+                own.add(i)
+                i = after(i)
+            met = self._chain_of.get(i)
+            self._chains.append((own | {i}, met, i))
+            self._chain_of.update(dict.fromkeys(own, len(self._chains) - 1))
+        chain, at = self._chain_of[start], start
+        while True:
+            own, parent, meets = self._chains[chain]
+            if end in own and end >= at:
+                return True
+            if parent is None or end < meets:
+                return False
+            chain, at = parent, meets
+
+
+def _png(b: Blob, at: int) -> int | None:
+    d, i = b.data, at + 8
     while i + 12 <= len(d):
         (n,), kind = struct.unpack_from(">I", d, i), d[i + 4 : i + 8]
-        if i + 12 + n > len(d) or (i == at + 8) != (kind == b"IHDR") or not kind.isalpha():
+        first = i == at + 8
+        if i + 12 + n > len(d) or first != (kind == b"IHDR") or first and n != 13 or not kind.isalpha():
             return None
         if zlib.crc32(memoryview(d)[i + 4 : i + 8 + n]) != struct.unpack_from(">I", d, i + 8 + n)[0]:
             return None
@@ -40,52 +112,54 @@ def _png(d: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(d: bytes, at: int) -> int | None:
-    i, framed = at + 2, False
-    while i + 4 <= len(d) and d[i] == 0xFF:
+def _jpeg(b: Blob, at: int) -> int | None:
+    d = b.data
+
+    def step(state: tuple[int, bool]) -> tuple[tuple[int, bool], int | None, bool]:
+        i, framed = state
+        if i + 4 > len(d) or d[i] != 0xFF:
+            return state, None, True
         mark, (n,) = d[i + 1], struct.unpack_from(">H", d, i + 2)
         if mark in (0x00, 0xFF, 0xD8, 0xD9) or n < 2:
-            return None
+            return state, None, True
         framed |= mark in (0xC0, 0xC1, 0xC2)
         i += 2 + n
-        if mark == 0xDA:
-            while framed:
-                i = d.find(b"\xff", i)
-                if i < 0 or i + 1 >= len(d):
-                    return None
-                if d[i + 1] == 0xD9:
-                    return i + 2 - at
-                if d[i + 1] != 0 and not 0xD0 <= d[i + 1] <= 0xD7:
-                    break
-                i += 2
-            if not framed:
-                return None
-    return None
+        if mark == 0xDA:  # coded data up to the next marker
+            if not framed or (i := b.next_jpeg_marker(i)) < 0:
+                return state, None, True
+            if d[i + 1] == 0xD9:
+                return state, i + 2, True
+        return (i, framed), None, False
+
+    end = b.walk("jpeg", (at + 2, False), step)
+    return None if end is None else end - at
 
 
-def _gif(d: bytes, at: int) -> int | None:
+def _gif(b: Blob, at: int) -> int | None:
+    d = b.data
     if len(d) < at + 13:
         return None
-    i = at + 13 + (3 << (d[at + 10] & 7) + 1 if d[at + 10] & 0x80 else 0)
 
-    def blocks(i: int) -> int:
-        while i < len(d) and d[i]:
-            i += 1 + d[i]
-        return i + 1
+    def block(i: int) -> tuple[int, int | None, bool]:
+        return (i, i + 1, True) if i >= len(d) or not d[i] else (i + 1 + d[i], None, False)
 
-    while i < len(d):
+    def step(i: int) -> tuple[int, int | None, bool]:
+        if i >= len(d):
+            return i, None, True
         if d[i] == 0x3B:
-            return i + 1 - at
+            return i, i + 1, True
         if d[i] == 0x21:
-            i = blocks(i + 2)
-        elif d[i] == 0x2C and i + 10 < len(d):
-            i = blocks(i + 11 + (3 << (d[i + 9] & 7) + 1 if d[i + 9] & 0x80 else 0))
-        else:
-            return None
-    return None
+            return b.walk("gif block", i + 2, block), None, False
+        if d[i] == 0x2C and i + 10 < len(d):
+            return b.walk("gif block", i + 11 + (3 << (d[i + 9] & 7) + 1 if d[i + 9] & 0x80 else 0), block), None, False
+        return i, None, True
 
+    end = b.walk("gif", at + 13 + (3 << (d[at + 10] & 7) + 1 if d[at + 10] & 0x80 else 0), step)
+    return None if end is None else end - at
 
-def _bmp(d: bytes, at: int) -> int | None:
+
+def _bmp(b: Blob, at: int) -> int | None:
+    d = b.data
     if len(d) < at + 54:
         return None
     size, reserved, start, head, width, height, planes, bits, packing = struct.unpack_from("<IIIIiiHHI", d, at + 2)
@@ -94,17 +168,17 @@ def _bmp(d: bytes, at: int) -> int | None:
     return size if start + (width * bits + 31) // 32 * 4 * abs(height) <= size <= len(d) - at else None
 
 
-def _riff(d: bytes, at: int) -> int | None:
-    if len(d) < at + 12 or d[at + 8 : at + 12] not in (b"WAVE", b"WEBP", b"AVI "):
+def _riff(b: Blob, at: int) -> int | None:
+    d = b.data
+    if len(d) < at + 12 or d[at + 8 : at + 12] not in RIFF_TYPES:
         return None
     end = at + 8 + struct.unpack_from("<I", d, at + 4)[0]
-    i, n = at + 12, 0
-    while i + 8 <= end <= len(d):
-        i, n = i + 8 + (struct.unpack_from("<I", d, i + 4)[0] + 1) // 2 * 2, n + 1
-    return end - at if n and i == end else None
+    after = lambda i: i + 8 + (struct.unpack_from("<I", d, i + 4)[0] + 1) // 2 * 2 if i + 8 <= len(d) else len(d) + 8
+    return end - at if at + 20 <= end <= len(d) and b.on_chain(at + 12, end, after) else None
 
 
-def _gzip(d: bytes, at: int) -> int | None:
+def _gzip(b: Blob, at: int) -> int | None:
+    d = b.data
     try:
         inner, chunk = zlib.decompressobj(31), memoryview(d)[at:]
         while not inner.eof and len(chunk):
@@ -115,21 +189,22 @@ def _gzip(d: bytes, at: int) -> int | None:
         return None
 
 
-def _zip(d: bytes, at: int) -> int | None:
-    end = d.find(b"PK\x05\x06", at)
+def _zip(b: Blob, at: int) -> int | None:
+    d, end = b.data, b.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(d):
         return None
     size, start, note = struct.unpack_from("<IIH", d, end + 12)
     return end + 22 + note - at if at + start + size == end and d[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(d) else None
 
 
-def _pdf(d: bytes, at: int) -> int | None:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and d.find(b"startxref", at, end) > 0 else None
+def _pdf(b: Blob, at: int) -> int | None:
+    end = b.next(b"%%EOF", at)
+    return end + 5 - at if end > 0 and 0 <= b.next(b"startxref", at) <= end - 9 else None
 
 
+RIFF_TYPES = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}
 #: The formats' magic bytes, media types and validators.
-FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int | None]], ...] = (
+FORMATS: tuple[tuple[bytes, str, Callable[[Blob, int], int | None]], ...] = (
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),
     (b"GIF87a", "image/gif", _gif),
@@ -140,7 +215,6 @@ FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int | None]], ...] = (
     (b"PK\x03\x04", "application/zip", _zip),
     (b"%PDF-", "application/pdf", _pdf),
 )
-RIFF_TYPES = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}
 
 
 @dataclass
@@ -166,11 +240,11 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(data: bytes | None, declared: str | None = None) -> Sniffed:
     """The type and length of what stands at offset 0, and (offset, length, type) of media elsewhere: inside it, or after it."""
-    out = Sniffed()
+    out, blob = Sniffed(), Blob(data or b"")
     for last, k in automaton().iter((data or b"").decode("latin-1")):
         magic, kind, valid = FORMATS[k]
         at = last + 1 - len(magic)
-        if (n := valid(data, at)) is None:
+        if (n := valid(blob, at)) is None:
             continue
         kind = RIFF_TYPES[data[at + 8 : at + 12]] if magic == b"RIFF" else kind
         if at == 0:
@@ -241,7 +315,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if rows:
                 yield batch_of(rows)
 
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_bytes long, declared string, media binary").withColumnRenamed("id", id_col)
 
 
@@ -254,10 +328,27 @@ def sniff_column(df: DataFrame, id_col: str, media_col: str = "media", declared_
             carved = pa.array([[{"offset": a, "length": n, "type": t} for a, n, t in x.carved] for x in found], pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.actual for x in found], pa.string()), pa.array([x.length for x in found], pa.int64()), pa.array([x.corrected for x in found], pa.bool_()), carved], ["id", "actual", "length", "corrected", "carved"])
 
-    kept = df.select(F.col(id_col).alias("id"), media_col, declared_col)
+    kept = bounded(df).select(F.col(id_col).alias("id"), media_col, declared_col)
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, actual string, length long, corrected boolean, carved array<struct<offset:long,length:long,type:string>>").withColumnRenamed("id", id_col)
 
 
+def carve(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
+    """(id, offset, length, type, sha256, media): the bytes of all valid media that stand within or after others, a row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column(1).to_pylist()):
+                found = sniff(data).carved
+                for k in range(0, len(found), 64):
+                    part = found[k : k + 64]
+                    cut = [data[a : a + n] for a, n, _ in part]
+                    ids = batch.column(0).take(pa.array([i] * len(part), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([a for a, _, _ in part]), pa.array([n for _, n, _ in part]), pa.array([t for _, _, t in part]), pa.array([hashlib.sha256(c).hexdigest() for c in cut]), pa.array(cut, pa.binary())], ["id", "offset", "length", "type", "sha256", "media"])
+
+    kept = bounded(df).select(F.col(id_col).alias("id"), media_col)
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, offset long, length long, type string, sha256 string, media binary").withColumnRenamed("id", id_col)
+
+
 def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The digests and features of a stored media column: the bytes are sniffed, carved to the length found, and decoded by the type found."""
 
@@ -274,5 +365,5 @@ def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    kept = stored.select(F.col(id_col).alias("id"), "n_bytes", "media", "declared")
+    kept = bounded(stored).select(F.col(id_col).alias("id"), "n_bytes", "media", "declared")
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
