@@ -99,4 +99,22 @@ SQL = {
         SELECT doc_id, size, source_size, target,
                (CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget - budget // source_size * source_size - before)) ELSE 0 END)::BIGINT AS taken
         FROM b""",
+    # CRC-32 by its table over the bytes of each text; the map's moves one by one.
+    "op10_sharding": r"""
+        WITH RECURSIVE poly AS (SELECT list(c ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        rec AS (SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text), 1, 15))::BIGINT AS key,
+            xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM d, poly),
+        vs AS (SELECT *, ((key + row_number() OVER (PARTITION BY key, doc_id, size, text_crc32) - 1) % 4096)::INT AS virtual_slot FROM rec),
+        load AS (SELECT list(coalesce(b, 0) ORDER BY s) AS load FROM range(4096) r(s) LEFT JOIN (SELECT virtual_slot, sum(size)::BIGINT AS b FROM vs GROUP BY 1) ON virtual_slot = s),
+        m AS (SELECT 0 AS step, list_transform(range(4096), lambda s: s * 8 // 4096) AS place, false AS ended UNION ALL
+            SELECT step + 1, CASE WHEN move IS NULL THEN place ELSE list_transform(place, lambda x, i: CASE WHEN i = move.slot THEN bare ELSE x END) END, move IS NULL
+            FROM (SELECT *, list_min(list_transform(list_filter(range(1, 4097), lambda i: place[i] = most AND load[i] > 0 AND load[i] < gap), lambda i: struct_pack(d := abs(2 * load[i] - gap), slot := i))) AS move
+              FROM (SELECT *, list_position(totals, list_max(totals)) - 1 AS most, list_position(totals, list_min(totals)) - 1 AS bare, list_max(totals) - list_min(totals) AS gap
+                FROM (SELECT step, place, load, list_transform(range(8), lambda s: list_sum(list_transform(load, lambda b, i: CASE WHEN place[i] = s THEN b ELSE 0 END))::BIGINT) AS totals FROM m, load WHERE NOT ended)))),
+        done AS (SELECT place FROM m WHERE ended),
+        out AS (SELECT vs.*, place[virtual_slot + 1]::INT AS shard FROM vs, done)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, key, doc_id, size, text_crc32) - 1 AS slot, NULL::INT AS grown_shard, virtual_slot, 2 AS map_version FROM out""",
 }
