@@ -8,7 +8,8 @@ windows and deficits come from distributed prefix sums, across partitions, with
 sum over windows gives every document its place in one stream, which is cut every LENGTH tokens. What is left at the
 end of the stream is cut at powers of two, so nothing is padded.
 
-Shares are those of the sources' own tokens unless weights are given. Null texts count as empty: their document is the
+Shares are those of the sources' own tokens unless weights are given; a source without a weight keeps its own share
+beside them, and all shares are divided by their sum. Null texts count as empty: their document is the
 end token alone. Null sources have a queue of their own. Ties of the hash are ordered by row. Repeated rows are packed
 each; an empty table gives no sequence. Extra columns are ignored.
 """
@@ -122,12 +123,15 @@ def places(tokens: DataFrame, weights: dict[str, float] | None = None) -> tuple[
     """(row, place): where in the stream each document begins; and the stream's length."""
     plan = materialize(tokens.select("row", "skey", "key", "n"), "packing-plan")
     rows, total = plan.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    queues = plan.groupBy("skey").agg(F.sum("n").alias("queue"))
+    # Shares: the weights given, where a source has one, and its own tokens else; then all by their sum, so that they are 1 together.
+    queues = materialize(plan.groupBy("skey").agg(F.sum("n").alias("queue")), "packing-queues")
     share = F.col("queue") / F.lit(float(total or 1))
     if weights:
-        of = F.coalesce(*(F.when(F.col("skey") == f"s{k}", F.lit(float(v))) for k, v in weights.items() if v > 0))
-        share = F.coalesce(of / F.lit(float(sum(v for v in weights.values() if v > 0))), share)
-    queues = queues.select("skey", (share * WINDOW).alias("quantum"))
+        of = F.coalesce(*(F.when(F.col("skey") == f"s{k}", F.lit(float(v))) for k, v in weights.items() if v > 0), F.lit(None).cast("double"))
+        share = F.coalesce(of / F.lit(float(sum(v for v in weights.values() if v > 0) or 1)), share)
+    queues = queues.withColumn("share", share)
+    whole = queues.agg(F.sum("share")).first()[0] or 1.0
+    queues = queues.select("skey", (F.col("share") / F.lit(whole) * WINDOW).alias("quantum"))
     begun = prefix_sums(plan, ["skey"], "key", ["row"], "n", "begin", bits_for(rows)).join(queues, "skey")
     begun = materialize(begun.select("row", "skey", "key", "n", (F.col("begin") / F.col("quantum")).alias("time")).withColumn("window", F.floor("time")), "packing-times")
     sums = begun.groupBy("window").agg(F.sum("n").alias("tokens")).withColumn("one", F.lit(1))
