@@ -162,6 +162,8 @@ def run(a: argparse.Namespace, spark: SparkSession | None, source: TextIO, out:
             print(f"spanloom: {render.stats(spans, opts.max_tokens)}, {ms(done - began)} total", file=err)
             print(f"spanloom: scout and plan {ms(planned - began)} ({matched} files matched), extract and pack {ms(ran - planned)} ({read} files read)", file=err)
             print(f"spanloom: render {ms(done - ran)}", file=err)
+        found.release()
+    spans.unpersist()
     return FOUND if n else NOTHING
 
 

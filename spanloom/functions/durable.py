@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder that spark.checkpoint.dir names; a temporary one only where none is named."""
+    """df computed once and kept in the shared folder that spark.checkpoint.dir names. Where none is named, a temporary one serves if all runs on this machine; a cluster must name one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-"))
     return df.checkpoint()

@@ -57,6 +57,8 @@ MATCH_CAP, HINT_LINES = 512, 16
 CHUNK, BATCH, OVERSAMPLE, TOKENS_PER_LINE = 256, 8, 4, 12
 #: Candidates whose paths the driver may gather; with more, all are ranked and read where they are.
 WIDE = 16384
+#: Rows of a given list that may be broadcast.
+FEW = 100_000
 #: Bytes of a content that may travel with its rank.
 CARRIED = 1 << 16
 ORPHAN_CONTEXT, MAX_TOKENS, MAX_PER_FILE = 6, 2000, 3

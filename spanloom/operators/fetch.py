@@ -49,7 +49,9 @@ def fetch(corpus: DataFrame, anchors: list[str], max_tokens: int | None = T.MAX_
     spark = corpus.sparkSession
     parsed = [(i, contained(p), s, e) for i, (p, s, e) in enumerate(map(parse_anchor, anchors))]
     wanted = spark.createDataFrame(parsed, "ordinal int, path string, start_line bigint, end_line bigint")
-    files = corpus.select("path", "content").join(F.broadcast(wanted.select("path").distinct()), "path", "left_semi").withColumn("lines", X.lines(F.col("content")))
+    paths = wanted.select("path").distinct()
+    paths = F.broadcast(paths) if len(parsed) <= T.FEW else paths
+    files = corpus.select("path", "content").join(paths, "path", "left_semi").withColumn("lines", X.lines(F.col("content")))
     total = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
     met = wanted.join(files, "path", "left").withColumn("end_line", F.least("end_line", total))
     lost = met.filter(F.col("content").isNull() | (F.col("start_line") > F.col("end_line"))).orderBy("ordinal").first()

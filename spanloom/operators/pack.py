@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Callable
 
@@ -47,44 +48,59 @@ def fill(rows: list[tuple[str, int, bool]], max_tokens: int, cap: int, barred: f
     return out
 
 
-def fill_from(fetch: Callable[[int, int], list], max_tokens: int, cap: int, barred: frozenset[int] = frozenset()) -> list[tuple[int, bool]]:
-    """As fill, (place, is_declaration) of what is taken, for lists of any length.
+#: A row taken: (place, path, tokens, is_declaration).
+Taken = tuple[int, str, int, bool]
 
-    fetch(after, most): the next AT_ONCE rows of (place, path, tokens, is_declaration) beyond a place that cost most tokens or less; others
-    would be passed over.
+
+def fill_from(fetch: Callable[[int, int], list[Taken]], max_tokens: int, cap: int, barred: frozenset[int] = frozenset(), taken: list[Taken] | None = None, after: int = 0) -> list[Taken]:
+    """As fill, the rows taken, for lists of any length; it goes on after a place, with what is taken up to there.
+
+    fetch(after, most): the next AT_ONCE rows beyond a place that cost most tokens or less; others would be passed over.
     """
-    used, taken, out, at = 0, Counter(), [], 0
-    while True:
-        rows = fetch(at, max_tokens - used)
-        for place, path, tokens, declares in rows:
-            if place in barred or cap and taken[path] >= cap or used + tokens > max_tokens:
+    out = list(taken or [])
+    used, counts = sum(t[2] for t in out), Counter(t[1] for t in out)
+    while not out or used < max_tokens:
+        rows = fetch(after, max_tokens - used)
+        for row in rows:
+            place, path, tokens, _ = row
+            if place in barred or cap and counts[path] >= cap or used + tokens > max_tokens:
                 continue
-            out.append((place, declares))
-            taken[path] += 1
+            out.append(row)
+            counts[path] += 1
             used += tokens
             if used >= max_tokens:
                 return out
         if len(rows) < AT_ONCE:
-            return out
-        at = rows[-1][0]
+            break
+        after = rows[-1][0]
+    return out
 
 
-def with_floor(refill: Callable[[frozenset[int]], list[tuple[int, bool]]], floor: int) -> list[int]:
-    """The last declarations taken give way until floor other spans fit; if that can't be, the plain fill."""
-    plain = taken = refill(frozenset())
+def with_floor(refill: Callable[[frozenset[int], list[Taken], int], list[Taken]], floor: int) -> list[int]:
+    """The last declarations taken give way until floor other spans fit; if that can't be, the plain fill.
+
+    What was taken before a declaration that gives way stays, so each refill goes on from there.
+    """
+    plain = taken = refill(frozenset(), [], 0)
     barred: frozenset[int] = frozenset()
-    while sum(not declares for _, declares in taken) < floor:
-        declarations = [i for i, declares in taken if declares]
-        if not declarations:
+    while sum(not declares for *_, declares in taken) < floor:
+        last = next((t[0] for t in reversed(taken) if t[3]), None)
+        if last is None:
             taken = plain
             break
-        barred |= {declarations[-1]}
-        taken = refill(barred)
-    return [i for i, _ in taken]
+        barred |= {last}
+        taken = refill(barred, [t for t in taken if t[0] < last], last)
+    return [t[0] for t in taken]
 
 
 def fill_with_references(rows: list[tuple[str, int, bool]], max_tokens: int, cap: int, floor: int) -> list[int]:
-    return with_floor(lambda barred: [(i, rows[i][2]) for i in fill(rows, max_tokens, cap, barred)], floor)
+    """Positions of (path, tokens, is_declaration) taken."""
+    numbered = [(i, *r) for i, r in enumerate(rows, 1)]
+
+    def fetch(after: int, most: int) -> list[Taken]:
+        return list(itertools.islice((r for r in itertools.islice(numbered, after, None) if r[2] <= most), AT_ONCE))
+
+    return [i - 1 for i in with_floor(lambda barred, taken, after: fill_from(fetch, max_tokens, cap, barred, taken, after), floor)]
 
 
 def pack(spans: DataFrame, max_tokens: int, cap: int, min_references: int, order: list, few: bool | None = None) -> DataFrame:
@@ -115,7 +131,7 @@ def pack_many(spans: DataFrame, max_tokens: int, cap: int, min_references: int,
         page = ranked.filter((F.col("place") > after) & (F.col("tokens") <= most)).orderBy("place").limit(AT_ONCE)
         return [tuple(r) for r in page.select("place", "path", "tokens", "is_declaration").collect()]
 
-    kept = with_floor(lambda barred: fill_from(fetch, max_tokens, cap, barred), min_references)
+    kept = with_floor(lambda barred, taken, after: fill_from(fetch, max_tokens, cap, barred, taken, after), min_references)
     return ranked.join(spans.sparkSession.createDataFrame([(p,) for p in kept], "place long"), "place", "left_semi")
 
 

@@ -27,6 +27,8 @@ class Result:
     unmatched: list[str] = field(default_factory=list)
     scouted: DataFrame | None = None
     gathered: DataFrame | None = None
+    #: Tables that the search keeps until release().
+    held: list[DataFrame] = field(default_factory=list)
 
     @property
     def exit_status(self) -> int:
@@ -36,6 +38,12 @@ class Result:
         """How many files matched, and how many of them gave spans to choose from."""
         return self.scouted.select("path").count(), self.gathered.select("path").distinct().count()
 
+    def release(self) -> None:
+        """Lets go of what the search keeps; its spans can still be read, by running it again."""
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
+
 
 def extract(files: DataFrame, queries: list[Query], options: Options) -> DataFrame:
     """The spans of candidate files, scored but for the depth penalty. Up to the text of each span all happens within a file's row: nothing is shuffled."""
@@ -63,10 +71,11 @@ def _chosen(files: DataFrame, ranks: DataFrame) -> DataFrame:
     return files.join(F.broadcast(ranks), same).select(files["path"], files["content"], ranks["candidate_rank"])
 
 
-def _head(files: DataFrame, narrow: DataFrame) -> tuple[DataFrame, int]:
+def _head(files: DataFrame, narrow: DataFrame, held: list[DataFrame]) -> tuple[DataFrame, int]:
     """The best T.CHUNK files with their contents, and their number: one scan, as contents up to T.CARRIED bytes travel with the ranking; longer ones are fetched."""
     spark = files.sparkSession
     best = narrow.orderBy(*match.candidate_order(True)).limit(T.CHUNK).cache()
+    held.append(best)
     ranked = best.withColumn("candidate_rank", F.row_number().over(Window.orderBy(*match.candidate_order(True))))
     n, fetched = best.agg(F.count("*"), F.count_if(F.col("carried").isNull())).first()
     out = ranked.filter("carried is not null").select("path", F.col("carried").alias("content"), "candidate_rank").repartition(spark.sparkContext.defaultParallelism)
@@ -75,7 +84,7 @@ def _head(files: DataFrame, narrow: DataFrame) -> tuple[DataFrame, int]:
     return out, n
 
 
-def gathered(files: DataFrame, scouted: DataFrame, queries: list[Query], options: Options) -> DataFrame:
+def gathered(files: DataFrame, scouted: DataFrame, queries: list[Query], options: Options, held: list[DataFrame]) -> DataFrame:
     """Spans of as many of the best files as the budget asks for: the best 256 first, then more while it asks on.
 
     The first step needs one scan of the files. For later ones keys are ranked once for two steps and meet the files
@@ -94,7 +103,7 @@ def gathered(files: DataFrame, scouted: DataFrame, queries: list[Query], options
     size, reach, best, kept = T.CHUNK, T.CHUNK, [], None
     while size <= T.WIDE:
         if size == T.CHUNK:
-            chosen, count = _head(files, narrow)
+            chosen, count = _head(files, narrow, held)
             last = count < T.CHUNK
         else:
             if size > reach:
@@ -103,9 +112,11 @@ def gathered(files: DataFrame, scouted: DataFrame, queries: list[Query], options
                 best = list(dict.fromkeys(map(tuple, best)))
                 ranks = spark.createDataFrame([(*x, i) for i, x in enumerate(best, 1)], "path string, file_key long, candidate_rank int")
                 kept = _chosen(files, ranks).cache()
+                held.append(kept)
             chosen = kept.filter(F.col("candidate_rank") <= size)
             last = len(best) < reach and len(best) <= size
         spans = extract(match.candidates(match.with_lines(chosen, options), queries), queries, options).cache()
+        held.append(spans)
         if not last:
             spent = {r["query_index"]: r["t"] for r in spans.groupBy("query_index").agg(F.sum("tokens").alias("t")).collect()}
         if last or all(spent.get(q, 0) >= share for q in range(n)):
@@ -129,11 +140,13 @@ def search(corpus: DataFrame, patterns: list[str], options: Options = Options())
     if options.paths is not None:
         files = keep_paths(files, list(options.paths))
     scouted = match.candidates(match.scout(match.with_lines(files, options), queries, options.comments_only), queries)
-    found = gathered(files, scouted, queries, options)
+    held: list[DataFrame] = []
+    found = gathered(files, scouted, queries, options, held)
     spans = rank.shadowed(found)
     unmatched: list[str] = []
     if len(queries) > 1:
         spans = spans.cache()
+        held.append(spans)
         answered = {r[0] for r in spans.select(F.explode("answered")).distinct().collect()}
         unmatched = [q.pattern for q in queries if q.index not in answered]
     if options.declarations_only:
@@ -151,4 +164,4 @@ def search(corpus: DataFrame, patterns: list[str], options: Options = Options())
     else:
         spans = pack.pack(spans, options.max_tokens, options.cap, options.min_references, order, few)
     shown = [c for c in COLUMNS if c in spans.columns and (c != "why" or options.explain)]
-    return Result(spans.orderBy(*order).select(*shown), queries, options, unmatched, scouted, found)
+    return Result(spans.orderBy(*order).select(*shown), queries, options, unmatched, scouted, found, held)

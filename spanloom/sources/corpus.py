@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,23 +23,22 @@ class IgnoreRules:
     """The ignore files of a tree, later and deeper rules winning."""
 
     def __init__(self) -> None:
-        self.rules: list[tuple[str, str, bool, bool]] = []
+        self.rules: list[tuple[str, str, str, bool, bool]] = []
 
-    def read(self, folder: str, file: str) -> None:
+    def read(self, folder: str, file: str, base: str = "") -> None:
+        """folder: the file's own, below the root; base: the root's place below the file's folder, where that is above."""
         if os.path.isfile(file):
             with open(file, encoding="utf-8", errors="replace") as lines:
                 for line in map(str.rstrip, lines):
                     if line and line[0] != "#":
                         keep = line[0] == "!"
                         rule = line[keep:].removeprefix("\\")
-                        self.rules.append((folder, rule.rstrip("/"), keep, rule.endswith("/")))
+                        self.rules.append((folder, base, rule.rstrip("/"), keep, rule.endswith("/")))
 
     def ignored(self, path: str, is_dir: bool) -> bool:
-        import re
-
         out = False
-        for folder, rule, keep, only_dirs in self.rules:
-            inner = path.removeprefix(folder + "/") if folder else path
+        for folder, base, rule, keep, only_dirs in self.rules:
+            inner = path.removeprefix(folder + "/") if folder else f"{base}/{path}" if base else path
             if (folder and inner == path) or (only_dirs and not is_dir):
                 continue
             if "/" in rule:
@@ -49,12 +49,41 @@ class IgnoreRules:
                 out = not keep
         return out
 
+    def read_above(self, root: str, git: bool) -> None:
+        """The user's own excludes, and the ignore files of the folders above the root: git's as far as its repository goes."""
+        root = os.path.realpath(root)
+        above = [root]
+        while (parent := os.path.dirname(above[-1])) != above[-1]:
+            above.append(parent)
+        top = next((i for i, d in enumerate(above) if os.path.exists(os.path.join(d, ".git"))), None)
+        if git and top is not None:
+            base = os.path.relpath(root, above[top]).replace(os.sep, "/")
+            base = "" if base == "." else base
+            self.read("", user_excludes(root), base)
+            if top:
+                self.read("", os.path.join(above[top], ".git", "info", "exclude"), base)
+        for i, folder in reversed([*enumerate(above)][1:]):
+            base = os.path.relpath(root, folder).replace(os.sep, "/")
+            self.read("", os.path.join(folder, ".ignore"), base)
+            if git and top is not None and i <= top:
+                self.read("", os.path.join(folder, ".gitignore"), base)
+
+
+def user_excludes(root: str) -> str:
+    """The file of excludes that holds in all of a user's repositories."""
+    try:
+        told = subprocess.run(["git", "-C", root, "config", "--type=path", "core.excludesFile"], capture_output=True, text=True).stdout.strip()
+    except OSError:
+        told = ""
+    return told or os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git", "ignore")
+
 
 def list_tree(root: str, hidden: bool = False, no_ignore: bool = False, max_bytes: int = MAX_FILE_BYTES) -> tuple[list[str], int]:
     """Root-relative paths of a local tree, and how many files were too large."""
     if not os.path.exists(root):
         raise FileNotFoundError(f"no such path: {root}")
     rules, out, large = IgnoreRules(), [], 0
+    rules.read_above(root, not no_ignore)
     for folder, dirs, files in os.walk(root):
         here = "" if (inner := os.path.relpath(folder, root).replace(os.sep, "/")) == "." else inner
         at = lambda name: f"{here}/{name}" if here else name  # noqa: B023, E731

@@ -65,6 +65,12 @@ def test_budget_and_cap(spark):
     assert got and sum(r.tokens for r in got) <= 30
     runs = {tuple(anchors(search(files.repartition(n), ["handler"], Options(max_tokens=30)))) for n in (1, 3)}
     assert len(runs) == 1
+    found = search(files, ["handler"], Options(max_tokens=30))
+    before = anchors(found)
+    assert found.held and all(df.is_cached for df in found.held)
+    held = list(found.held)
+    found.release()
+    assert not any(df.is_cached for df in held) and anchors(found) == before
 
 
 def test_min_references():
@@ -74,6 +80,30 @@ def test_min_references():
     assert pack.fill_with_references(rows, 10, 0, 2) == [0, 1]
 
 
+def test_floor_by_brute_force(monkeypatch):
+    """Refills that go on from where a declaration gave way give what whole ones give, whatever the size of a page."""
+    rng = random.Random(9)
+
+    def whole(rows, most, cap, floor):
+        barred, plain = set(), None
+        while True:
+            taken = pack.fill(rows, most, cap, frozenset(barred))
+            plain = taken if plain is None else plain
+            if sum(not rows[i][2] for i in taken) >= floor:
+                return taken
+            last = next((i for i in reversed(taken) if rows[i][2]), None)
+            if last is None:
+                return plain
+            barred.add(last)
+
+    for _ in range(300):
+        rows = [(rng.choice("abc"), rng.randrange(1, 9), rng.random() < 0.6) for _ in range(rng.randrange(14))]
+        most, cap, floor = rng.randrange(1, 30), rng.randrange(4), rng.randrange(5)
+        for page in (1, 3, 100):
+            monkeypatch.setattr(pack, "AT_ONCE", page)
+            assert pack.fill_with_references(rows, most, cap, floor) == whole(rows, most, cap, floor)
+
+
 def test_any_size(spark, monkeypatch):
     """The plans for more candidates and spans than one task or the driver may hold give what the plain ones give."""
     from spanloom.functions import tables as T
@@ -206,6 +236,20 @@ def test_tree_source(spark, tmp_path):
         corpus.from_tree(spark, str(tmp_path / "nowhere"))
 
 
+def test_ignore_files_above(tmp_path, monkeypatch):
+    """What the folders above a root and the user's own excludes leave out, within a repository."""
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "home"))
+    root = tmp_path / "repo/sub/tree"
+    for name, text in {"home/git/ignore": "*.mine\n", "repo/.git/info/exclude": "out/\n", "repo/.gitignore": "sub/tree/gone.py\n*.tmp\n", "repo/sub/.ignore": "tree/quiet.py\n!kept.tmp\n", ".gitignore": "*\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    for name in ("a.py", "gone.py", "quiet.py", "b.tmp", "kept.tmp", "c.mine", "out/d.py", "deep/gone.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x")
+    assert corpus.list_tree(str(root))[0] == ["a.py", "kept.tmp", "deep/gone.py"]
+    assert corpus.list_tree(str(root), no_ignore=True)[0] == ["a.py", "b.tmp", "c.mine", "gone.py", "kept.tmp", "deep/gone.py", "out/d.py"]
+
+
 def test_git_source(tmp_path):
     import subprocess
 
