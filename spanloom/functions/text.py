@@ -52,6 +52,11 @@ def query_terms(pattern: str) -> list[str]:
     return list(out)
 
 
+def low(text: Column) -> Column:
+    """Lower case letter by letter: a sigma at a word's end is no other letter."""
+    return F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -65,8 +70,8 @@ def path_score(path: Column, terms: Column) -> Column:
 
 
 def term_overlap(text: Column, terms: Column) -> Column:
-    low = F.lower(text)
-    return F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.size(terms)).otherwise(0.0)
+    lowered = low(text)
+    return F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.contains(lowered, t))) / F.size(terms)).otherwise(0.0)
 
 
 def looks_like_test(path: Column) -> Column:

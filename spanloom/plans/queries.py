@@ -507,3 +507,10 @@ def shadow_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("sym"), F.col("doc_id") % 50).alias("symbol"), (F.col("n_chars") % 7).cast("int").alias("depth"), (F.col("doc_id") % 3 > 0).alias("is_declaration"))
     docs = docs.withColumn("why", F.struct(zero.alias("matches"), zero.alias("terms"), zero.alias("path"), zero.alias("depth_penalty")))
     return rank.shadowed(docs).select("doc_id", F.col("why.depth_penalty").alias("penalty"))
+
+
+@query(f"WITH {DOCS}, t AS (SELECT path, lower(replace(content, ' w', ' ΟΔΟΣ ')) AS t FROM docs) SELECT path, (contains(t, 'οδοσ')::INT + contains(t, 'token')::INT + contains(t, 'the')::INT) / 3.0::DOUBLE AS overlap FROM t")
+def term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of terms that a text holds, by letters in lower case."""
+    text = F.replace("content", F.lit(" w"), F.lit(" ΟΔΟΣ "))
+    return corpus(spark, sf_dir).select("path", X.term_overlap(text, F.array(*map(F.lit, ("οδοσ", "token", "the")))).alias("overlap"))
