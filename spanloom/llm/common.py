@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +18,75 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one is set only where the cluster names none."""
+    """The folder all executors see. Where none is named, a temporary one is set if all runs on this machine; a cluster must name one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
         named = jsc.getCheckpointDir().get()
     return named.rstrip("/")
 
 
+#: Bytes of a batch that goes to Python. Spark bounds its rows alone, and 10,000 long texts may be gigabytes.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose batches for Python are bounded in bytes; a bound that the session has already stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, str(2**31 - 1))) == 2**31 - 1:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+#: Paths of the tables that materialize() wrote and nothing has removed.
+_written: set[str] = set()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: it cuts lineage and outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    bounded(df).write.parquet(path)
+    _written.add(path)
+    return stored(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df with the path of the table that it is read from."""
+    df.table_path = path
+    return df
+
+
+def written() -> frozenset[str]:
+    return frozenset(_written)
+
+
+def release(spark: SparkSession, before: frozenset[str], *kept: DataFrame) -> None:
+    """Removes the tables written since `before` but those kept, which nothing may read again, and lets go of the shuffle files of finished plans."""
+    for path in _written - before - {k.table_path for k in kept}:
+        _written.discard(path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what a task makes of a row is held for few rows at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def matrix(cells: pa.Array, kind: type) -> np.ndarray:
+    """Binary cells of equal size as rows of numbers, not copied."""
+    if not len(cells):
+        return np.zeros((0, 0), kind)
+    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    return np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(cells), -1)
 
 
 def source_key(source: Column) -> Column:

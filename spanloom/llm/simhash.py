@@ -22,22 +22,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release, slices, stored, written
 
 BITS, BLOCKS = 64, 5
 #: Fingerprints that one trie may hold.
 BUCKET = 1024
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """Of the text's shingles in order, repeats included; a text of fewer words is one shingle, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i : i + (1 << 16)]
@@ -49,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
     """(id, fp): fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
 
@@ -150,18 +156,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is a table in the shared folder; joins are by key with nothing above them, so that hot nodes can be split.
     """
+    spark = edges.sparkSession
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "stars")
     last = None
     while True:
+        before = written() - {edges.table_path}
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         edges = materialize(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars")
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         joined = edges.join(low, "u")
         edges = materialize(joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), "stars")
+        release(spark, before, edges)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), edges.table_path)
         last = now
 
 
@@ -169,7 +178,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fingerprint, component_id): component_id is the smallest id that links of budget differing bits at most reach."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    before = written()
     roots = components(links(nodes.select("fp"), budget))
+    release(docs.sparkSession, before, roots)
     nodes = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")), "simhash-nodes")
     # A root is no node of its own star: it counts as alone, and its id as one of its component.
     alone = nodes.filter("not linked").select("root", "low")
