@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import jaccard, mixing, packing, quality, secret_scan
-from spanloom.llm.common import materialize
+from spanloom.llm.common import materialize, release, written
 from spanloom.llm.queries import vocabulary
 
 
@@ -16,10 +16,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more): the first row of the group. Rows get numbers, as ids may be null or repeat."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more): that of the smallest id, of several the one whose text has the smallest hash.
+
+    SimHash proposes, and an exact join finds what its error budget leaves. Rows get numbers, as ids may be null or repeat.
+    """
     rows = materialize(docs.withColumn("__sl_row", F.monotonically_increasing_id()), "pipeline-rows")
-    kept = jaccard.first_copies(rows, "__sl_row")
-    return rows.join(kept, "__sl_row", "left_semi").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
+    later = jaccard.later_copies(rows, "__sl_row", order=order)
+    return rows.join(jaccard.few(later), "__sl_row", "left_anti").select(*docs.columns)
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote on its way goes once its result is written; the last stage's tables stay, as its rows are yet to be read."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"pipeline-{k}")
+            release(spark, start, docs)
     return docs
