@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
+from .common import bounded, matrix, slices
 
 PER_LANGUAGE, TOTAL = 1500, 8000
 #: Families by ISO 639-1 code; a language not listed is of the family "other".
@@ -112,9 +113,9 @@ def _features(texts: list[str]) -> np.ndarray:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
     """Fitted by one task on a sample of about TOTAL documents, more only if there are more languages: each has one at least."""
     part = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter((part != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und") & F.col("text").rlike(r"\p{L}"))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    known = known.withColumn("place", place)
+    known = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    known = known.filter((part != 0) & F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").rlike(r"\p{L}"))
+    known = known.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
     # One row for each language, as in the model itself.
     counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()
     if not counts:
@@ -125,16 +126,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     some = some.select("id", "lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cells = [linear.grams(t, 3, lower=True).astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(cells, pa.binary())], ["id", "lang", "f"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in zip(b.column("lang").to_pylist(), b.column("f").to_pylist(), strict=True)))
-        langs, x = [r[0] for r in rows], np.empty((len(rows), linear.GRAMS), np.float32)
-        for k, (_, f) in enumerate(rows):
-            x[k], rows[k] = np.frombuffer(f, np.float16), None
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows(x, langs))], pa.binary())], ["model"])
+        langs, f = [], []
+        for b in batches:
+            langs += b.column("lang").to_pylist()
+            f.append(matrix(b.column("f"), np.float16).copy())
+        x = np.concatenate([np.zeros((0, linear.GRAMS), np.float16), *f])
+        # In an order that the rows alone decide.
+        order = np.array(sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes())), np.int64)
+        del f
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows(x[order].astype(np.float32), [langs[i] for i in order]))], pa.binary())], ["model"])
 
     kind = known.schema["id"].dataType.simpleString()
     # One row for each id and language, so that a hot id can't fill the task.
@@ -161,5 +166,5 @@ def identify(docs: DataFrame, model: Hierarchy, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
     part = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(part == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).alias("id"), F.coalesce(part == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
+from .common import bounded, matrix, slices
 
 LABELLED, UNLABELLED, ROUNDS = 6000, 4000, 4
 #: Pseudo-labels of each class that a view may give in a round.
@@ -129,27 +130,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> CoTrained
     """Fitted by one task from two bounded samples of feature rows."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__sl_id")).agg(F.avg("quality").alias("y"))
     some = known.orderBy(F.xxhash64("__sl_id"), "__sl_id").limit(LABELLED)
-    rows = docs.select(F.col(id_col).alias("__sl_id"), *_columns(docs))
+    rows = bounded(docs).select(F.col(id_col).alias("__sl_id"), *_columns(docs))
     by_hash = (F.xxhash64("__sl_id", F.lit(1)), F.col("__sl_id"))
     others = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__sl_id")).orderBy(*by_hash).limit(LABELLED + UNLABELLED).distinct()
     others = others.join(F.broadcast(some), "__sl_id", "left_anti").orderBy(*by_hash).limit(UNLABELLED).withColumn("y", F.lit(-1.0))
     picked = rows.join(F.broadcast(some.unionByName(others)), "__sl_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x, z = _views(list(zip(*(b.column(c).to_pylist() for c in FIELDS), strict=True)))
             both = np.hstack([x, z]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column("__sl_id"), b.column("y"), pa.array([r.tobytes() for r in both], pa.binary())], ["id", "y", "f"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(i, f, y) for b in batches for i, y, f in zip(*(b.column(c).to_pylist() for c in ("id", "y", "f")), strict=True)]
-        held.sort(key=lambda r: r[:2])
-        y = np.array([-1.0 if r[2] < 0 else float(r[2] >= 0.5) for r in held])
-        x, z = np.empty((len(held), linear.GRAMS), np.float32), np.empty((len(held), META), np.float32)
-        for k, (_, f, _) in enumerate(held):
-            row = np.frombuffer(f, np.float16)
-            x[k], z[k], held[k] = row[: linear.GRAMS], row[linear.GRAMS :], None
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(co_train(x, z, y) if len(y) else CoTrained())], pa.binary())], ["model"])
+        ids, y, f = [], [], []
+        for b in batches:
+            ids += b.column("id").to_pylist()
+            y += b.column("y").to_pylist()
+            f.append(matrix(b.column("f"), np.float16).copy())
+        y = np.array([-1.0 if v < 0 else float(v >= 0.5) for v in y])
+        x, z, place = np.empty((len(ids), linear.GRAMS), np.float32), np.empty((len(ids), META), np.float32), np.empty(len(ids), np.int64)
+        order = np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64)
+        place[order] = np.arange(len(ids))
+        at = 0
+        for part in f:
+            x[place[at : at + len(part)]], z[place[at : at + len(part)]] = part[:, : linear.GRAMS], part[:, linear.GRAMS :]
+            at += len(part)
+        del f
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(co_train(x, z, y[order]) if len(y) else CoTrained())], pa.binary())], ["model"])
 
     kind = rows.schema["__sl_id"].dataType.simpleString()
     # One row for each id, so that an id which many rows share counts once. The sample is bounded and one task fits on it, so that the driver sees the model alone.
@@ -176,7 +184,7 @@ def score_quality(docs: DataFrame, model: CoTrained, id_col: str = "doc_id") ->
             s = np.vstack([np.zeros((0, 3)), *(score_rows(model, list(zip(*(b.column(c).slice(i, 512).to_pylist() for c in FIELDS), strict=True))) for i in range(0, b.num_rows, 512))])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[:, k].astype(np.float64)) for k in range(3)), pa.array((s[:, 2] >= THRESHOLD).astype(np.int32))], ["id", "text_score", "page_score", "score", "quality"])
 
-    rows = docs.select(F.col(id_col).alias("id"), *_columns(docs))
+    rows = bounded(docs).select(F.col(id_col).alias("id"), *_columns(docs))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_score double, page_score double, score double, quality int").withColumnRenamed("id", id_col)
 
 
@@ -189,4 +197,4 @@ def keep_good(docs: DataFrame, model: CoTrained) -> DataFrame:
             keep = [score_rows(model, list(zip(*([None] * p.num_rows if i is None else p.column(i).to_pylist() for i in at), strict=True)))[:, 2] >= THRESHOLD for p in (b.slice(i, 512) for i in range(0, b.num_rows, 512))]
             yield b.filter(pa.array(np.concatenate(keep)) if keep else pa.array([], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

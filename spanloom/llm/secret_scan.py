@@ -30,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -401,7 +403,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 spans.append(written(full))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
     return kept.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
@@ -430,7 +432,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
             texts = [redacted(x) if x else x for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, kind))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = bounded(docs).mapInArrow(run, docs.schema)
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.coalesce(F.length(text_col).cast(kind), F.col(length_col)))
