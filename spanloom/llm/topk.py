@@ -3,14 +3,19 @@
 Vectors become points of one more dimension, sqrt(M^2 - |v|^2) with M the largest norm, and queries points with 0
 there; then |q - v|^2 = |q|^2 + M^2 - 2 q.v, so the largest inner products are the nearest points. Every vector is
 keyed by its nearest pivot and its distance to it; a pivot's vectors are cut into annuli by distance, and annuli into
-blocks of about BLOCK rows sorted by distance. A query starts from a lower bound of its k-th score, the k-th over a
-bounded sample of the vectors. It goes to the annuli that the triangle inequality leaves, and within a block to the
-rows within its radius, which shrinks as better scores are found. All scores are exact integers.
+blocks of about BLOCK rows sorted by distance. There are more pivots as there are more vectors, PIVOTS to MOST_PIVOTS.
 
-Pivots, ring edges and starting bounds come from SAMPLE vectors, chosen by the hash of their id; every vector is
+A query goes out twice. First to one block of the annulus that may hold its nearest points; what it finds there, and in a
+bounded sample, bounds its k-th score from below. Then to the annuli that the triangle inequality leaves within that
+bound, and within a block to the rows within its radius, which shrinks as better scores are found. Either time blocks and
+the queries that ask for them are sorted together, so a block is sent once however many queries come. All scores are
+exact integers.
+
+Pivots, ring edges and the first bounds come from a sample of vectors, chosen by the hash of their id; every vector is
 indexed and any sample gives the same result. Vectors null, or holding null or non-finite components, take no part,
 nor do rows with a null id. Shorter vectors count as padded with zeros. A query's own id is no candidate, repeated or
-not. With no vectors or no queries the result is empty.
+not. With no vectors or no queries the result is empty. Components beyond 64-bit integers count as the largest of these,
+and so do scores.
 """
 
 from __future__ import annotations
@@ -23,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, matrix
 
-PIVOTS, RINGS, SAMPLE, BLOCK, QUERIES = 16, 8, 2048, 4096, 512
+PIVOTS, MOST_PIVOTS, RINGS, SAMPLE, BLOCK, QUERIES = 16, 256, 8, 2048, 4096, 512
 #: Slack for rounded distances; scores themselves are exact.
 EPS = 1e-6
 
@@ -64,10 +69,10 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[min(max(s, -(2**63)), 2**63 - 1) for s in r] for r in rows], np.int64)
 
 
-def fit_pivots(sample: np.ndarray, most: float) -> np.ndarray:
+def fit_pivots(sample: np.ndarray, most: float, count: int = PIVOTS) -> np.ndarray:
     points = np.unique(_lifted(sample, most), axis=0)
     rng = np.random.default_rng(7)
-    pivots = points[rng.choice(len(points), min(PIVOTS, len(points)), replace=False)]
+    pivots = points[rng.choice(len(points), min(count, len(points)), replace=False)]
     for _ in range(4):
         near = _distances(points, pivots).argmin(1)
         pivots = np.array([points[near == k].mean(0) if (near == k).any() else p for k, p in enumerate(pivots)])
@@ -83,96 +88,133 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
+def _search(ids: np.ndarray, q: np.ndarray, floor: np.ndarray, dq: np.ndarray, dist: np.ndarray, vid: np.ndarray, v: np.ndarray, most: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, vec id, score) of each query's k best in a block that reach its floor."""
+    square = (q * q).sum(1) + most
+    # Chunks of the block, nearest to the queries' own distances first; each raises the floors for those that follow.
+    floor, found, step = floor.copy(), [], 512
+    for a in sorted(range(0, len(dist), step), key=lambda a: abs(np.median(dq) - dist[min(a + step // 2, len(dist) - 1)])):
+        reach = np.sqrt(np.maximum(0, square - 2 * floor)) * (1 + EPS) + EPS
+        who = np.flatnonzero(np.maximum(dist[a] - dq, dq - dist[min(a + step, len(dist)) - 1]) <= reach)
+        if not len(who):
+            continue
+        s = _scores(q[who], v[a : a + step].astype(np.float64))
+        x, y = np.nonzero((s >= floor[who][:, None]) & (vid[a : a + step][None] != ids[who][:, None]))
+        if not len(x):
+            continue
+        best = _best(x, vid[a + y], s[x, y], k)
+        found.append((who[x[best]], vid[a + y[best]], s[x[best], y[best]]))
+        full = np.bincount(x[best], minlength=len(who)) >= k
+        worst = np.full(len(who), np.iinfo(np.int64).max)
+        np.minimum.at(worst, x[best], s[x[best], y[best]])
+        floor[who[full]] = np.maximum(floor[who[full]], worst[full])
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    x, y, s = (np.concatenate(z) for z in zip(*found, strict=True))
+    best = _best(x, y, s, k)
+    return ids[x[best]], y[best], s[best]
+
+
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best among all other rows. is_query: a condition on vec_id."""
     spark = vectors.sparkSession
     rows = quantized(vectors, id_col, vector_col, scale).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
     rows = materialize(rows, "topk-vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    dim, most = rows.agg(F.max(F.size("v")), F.max(square)).first()
+    dim, most, total = rows.agg(F.max(F.size("v")), F.max(square), F.count("*")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not dim:
         return empty
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").toArrow()
+    n_pivots = min(MOST_PIVOTS, max(PIVOTS, total // (RINGS * BLOCK)))
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, 16 * n_pivots) if n_pivots > PIVOTS else SAMPLE).select("vec_id", "v").toArrow()
     s_ids, s_vec = some.column(0).to_numpy(), _matrix(some.column(1).combine_chunks(), dim)
-    pivots = fit_pivots(s_vec, most)
+    pivots = fit_pivots(s_vec, most, n_pivots)
     near = (d := _distances(_lifted(s_vec, most), pivots)).argmin(1)
     edges = [np.unique(np.quantile(d[near == p, p], np.linspace(0, 1, RINGS + 1)[1:-1])) if (near == p).any() else np.zeros(0) for p in range(len(pivots))]
+    # No component is larger than the largest norm.
+    kind = "<i2" if np.sqrt(most) < 32767 else "<f8"
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = _distances(_lifted(_matrix(b.column(1), dim), most), pivots)
+            m = _matrix(b.column(1), dim)
+            d = _distances(_lifted(m, most), pivots)
             p = d.argmin(1) if len(d) else np.zeros(0, np.int64)
             near = d[np.arange(len(d)), p]
             ring = np.array([np.searchsorted(edges[i], x, "right") for i, x in zip(p, near, strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p * RINGS + ring, pa.int64()), pa.array(near)], ["vec_id", "v", "cell", "dist"])
+            cells = [x.tobytes() for x in m.astype(kind)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary()), pa.array(p * RINGS + ring, pa.int64()), pa.array(near)], ["vec_id", "v", "cell", "dist"])
 
-    index = materialize(rows.select("vec_id", "v").mapInArrow(keyed, "vec_id long, v array<double>, cell long, dist double"), "topk-index")
-    # One row for each annulus: PIVOTS * RINGS at most.
+    index = materialize(rows.select("vec_id", "v").mapInArrow(keyed, "vec_id long, v binary, cell long, dist double"), "topk-index")
+    # One row for each annulus: MOST_PIVOTS * RINGS at most.
     ring = {r["cell"]: (r["lo"], r["hi"], -(-r["n"] // BLOCK)) for r in index.groupBy("cell").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n")).collect()}
-    salts = F.coalesce(*(F.when(F.col("cell") == c, F.lit(n)) for c, (_, _, n) in sorted(ring.items()) if n > 1), F.lit(1))
-    blocks = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts.cast("long"))).groupBy("cell", "salt").agg(F.sort_array(F.collect_list(F.struct("dist", "vec_id", "v"))).alias("rows"))
-
-    def routed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block of queries and each annulus that some of them can't rule out, a row for each block of the annulus."""
-        cells = sorted(ring)
-        lo, hi, n_salts = (np.array([ring[c][i] for c in cells]) for i in range(3))
-        for b in frames:
-            for start in range(0, b.num_rows, QUERIES):
-                part = b.slice(start, QUERIES)
-                ids, q = part.column(0).to_numpy(), _matrix(part.column(1), dim)
-                s = _scores(q, s_vec).astype(np.float64)
-                s[ids[:, None] == s_ids[None]] = -np.inf
-                floor = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
-                d = _distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)
-                reach = np.sqrt(np.maximum(0, (q * q).sum(1) + most - 2 * floor)) * (1 + EPS) + EPS
-                for j, c in enumerate(cells):
-                    dc = d[:, c // RINGS]
-                    if (far := np.maximum(lo[j] - dc, dc - hi[j]) <= reach).any():
-                        small = q[far].astype(np.int16) if np.abs(q[far]).max(initial=0) < 32768 else q[far]
-                        for salt in range(int(n_salts[j])):
-                            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (int(c), salt, ids[far].tobytes(), small.tobytes(), small.dtype.str, floor[far].tobytes(), dc[far].tobytes())], ["cell", "salt", "ids", "q", "kind", "floor", "dq"])
-
-    routes = rows.filter("is_query").select("vec_id", "v").mapInArrow(routed, "cell long, salt long, ids binary, q binary, kind string, floor binary, dq binary")
-    met = routes.join(blocks, (routes["cell"] == blocks["cell"]) & (routes["salt"] == blocks["salt"])).select("ids", "q", "kind", "floor", "dq", "rows")
+    cells = np.array(sorted(ring))
+    lo, hi, n_salts = (np.array([ring[c][i] for c in sorted(ring)]) for i in range(3))
+    salts = spark.createDataFrame([(int(c), int(n)) for c, n in zip(cells, n_salts, strict=True)], "cell long, salts long")
+    dealt = index.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
+    blocks = dealt.groupBy("cell", "salt").agg(F.sort_array(F.collect_list(F.struct("dist", "vec_id", "v"))).alias("rows"))
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("ids", "q", "floor", "dq")]
+    blocks = materialize(blocks.select("cell", "salt", F.lit(0).alias("kind"), *nothing, "rows"), "topk-blocks")
+    no_rows = F.lit(None).cast(blocks.schema["rows"].dataType).alias("rows")
+
+    def sent(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """For each chunk of queries, a row for each block that some of them go to."""
+            for b in batches:
+                for start in range(0, b.num_rows, QUERIES):
+                    part = b.slice(start, QUERIES)
+                    ids, q = part.column(0).to_numpy(), _matrix(part.column(1), dim)
+                    s = _scores(q, s_vec).astype(np.float64)
+                    s[ids[:, None] == s_ids[None]] = -np.inf
+                    floor = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
+                    d = _distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)[:, cells // RINGS]
+                    apart = np.maximum(0, np.maximum(lo - d, d - hi))
+                    home = np.lexsort((d, apart), axis=1)[:, 0] if len(cells) else np.zeros(len(q), int)
+                    salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n_salts[home]
+                    if not first:
+                        found = part.column(2).to_numpy(zero_copy_only=False)
+                        floor = np.where(np.isnan(found), floor, np.fmax(floor, found))
+                        reach = np.sqrt(np.maximum(0, (q * q).sum(1) + most - 2 * floor)) * (1 + EPS) + EPS
+                    for j, c in enumerate(cells):
+                        for x in range(int(n_salts[j])):
+                            here = (home == j) & (salt == x)
+                            goes = here if first else (apart[:, j] <= reach) & ~here
+                            if goes.any():
+                                small = q[goes].astype("<i2") if np.abs(q[goes]).max(initial=0) < 32768 else q[goes]
+                                width = pa.array([small.dtype.itemsize], pa.int32())
+                                yield pa.RecordBatch.from_arrays([pa.array([int(c)]), pa.array([x]), width, *(pa.array([y.tobytes()]) for y in (ids[goes], small, floor[goes], d[goes, j]))], ["cell", "salt", "kind", "ids", "q", "floor", "dq"])
+
+        return run
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block, the block itself first: it is held while the queries that ask for it pass."""
+        block = None
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                ids, floor, dq = (np.frombuffer(batch.column(n)[i].as_py(), t) for n, t in ((0, np.int64), (3, np.float64), (4, np.float64)))
-                q = np.frombuffer(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()).reshape(len(ids), dim).astype(np.float64)
-                cell = batch.column(5)[i].values
-                dist, vid, v = cell.field("dist").to_numpy(), cell.field("vec_id").to_numpy(), _matrix(cell.field("v"), dim)
-                square = (q * q).sum(1) + most
-                # Chunks of the block, nearest to the queries' own distances first; each raises the floors for those that follow.
-                floor, found, step = floor.copy(), [], 512
-                chunks = sorted(range(0, len(dist), step), key=lambda a: abs(np.median(dq) - dist[min(a + step // 2, len(dist) - 1)]))
-                for a in chunks:
-                    reach = np.sqrt(np.maximum(0, square - 2 * floor)) * (1 + EPS) + EPS
-                    near = np.maximum(dist[a] - dq, dq - dist[min(a + step, len(dist)) - 1]) <= reach
-                    if not near.any():
-                        continue
-                    who = np.flatnonzero(near)
-                    s = _scores(q[who], v[a : a + step])
-                    x, y = np.nonzero((s >= floor[who][:, None]) & (vid[a : a + step][None] != ids[who][:, None]))
-                    if not len(x):
-                        continue
-                    best = _best(x, vid[a + y], s[x, y], k)
-                    found.append((who[x[best]], vid[a + y[best]], s[x[best], y[best]]))
-                    full = np.bincount(x[best], minlength=len(who)) >= k
-                    worst = np.full(len(who), np.iinfo(np.int64).max)
-                    np.minimum.at(worst, x[best], s[x[best], y[best]])
-                    floor[who[full]] = np.maximum(floor[who[full]], worst[full])
-                if found:
-                    x, y, s = (np.concatenate(z) for z in zip(*found, strict=True))
-                    best = _best(x, y, s, k)
-                    out.append((ids[x[best]], y[best], s[best]))
+                if batch.column(2)[i].as_py() == 0:
+                    held = batch.column(7)[i].values
+                    block = held.field("dist").to_numpy().copy(), held.field("vec_id").to_numpy().copy(), matrix(held.field("v"), kind).copy()
+                    continue
+                of = lambda c, t: np.frombuffer(batch.column(c)[i].as_py(), t)  # noqa: B023, E731
+                ids = of(3, np.int64)
+                q = of(4, "<i2" if batch.column(2)[i].as_py() == 2 else np.float64).reshape(len(ids), dim).astype(np.float64)
+                out.append(_search(ids, q, of(5, np.float64), of(6, np.float64), *block, most, k))
             cols = [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(searched, "query_id long, vec_id long, score long")
+    def asked(queries: DataFrame, first: bool) -> DataFrame:
+        routes = queries.mapInArrow(sent(first), "cell long, salt long, kind int, ids binary, q binary, floor binary, dq binary").withColumn("rows", no_rows)
+        met = blocks.unionByName(routes).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind")
+        return met.mapInArrow(searched, "query_id long, vec_id long, score long")
+
+    # Equal rows are one query; what different vectors of one id find is ranked together.
+    queries = rows.filter("is_query").select("vec_id", "v").dropDuplicates()
+    near_by = materialize(asked(queries, True), "topk-first")
+    bound = near_by.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") == k)
+    bound = bound.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
+    rest = asked(queries.join(bound, "vec_id", "left").select("vec_id", "v", "bound"), False)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = near_by.unionByName(rest)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
