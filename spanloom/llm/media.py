@@ -326,7 +326,8 @@ def sniff_column(df: DataFrame, id_col: str, media_col: str = "media", declared_
         for batch in batches:
             found = [sniff(m, d) for m, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             carved = pa.array([[{"offset": a, "length": n, "type": t} for a, n, t in x.carved] for x in found], pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.actual for x in found], pa.string()), pa.array([x.length for x in found], pa.int64()), pa.array([x.corrected for x in found], pa.bool_()), carved], ["id", "actual", "length", "corrected", "carved"])
+            cols = [pa.array([getattr(x, c) for x in found], t) for c, t in (("actual", pa.string()), ("length", pa.int64()), ("corrected", pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, carved], ["id", "actual", "length", "corrected", "carved"])
 
     kept = bounded(df).select(F.col(id_col).alias("id"), media_col, declared_col)
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, actual string, length long, corrected boolean, carved array<struct<offset:long,length:long,type:string>>").withColumnRenamed("id", id_col)
@@ -343,7 +344,9 @@ def carve(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
                     part = found[k : k + 64]
                     cut = [data[a : a + n] for a, n, _ in part]
                     ids = batch.column(0).take(pa.array([i] * len(part), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([a for a, _, _ in part]), pa.array([n for _, n, _ in part]), pa.array([t for _, _, t in part]), pa.array([hashlib.sha256(c).hexdigest() for c in cut]), pa.array(cut, pa.binary())], ["id", "offset", "length", "type", "sha256", "media"])
+                    places = [pa.array(x) for x in zip(*part, strict=True)]
+                    digests = pa.array([hashlib.sha256(c).hexdigest() for c in cut])
+                    yield pa.RecordBatch.from_arrays([ids, *places, digests, pa.array(cut, pa.binary())], ["id", "offset", "length", "type", "sha256", "media"])
 
     kept = bounded(df).select(F.col(id_col).alias("id"), media_col)
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, offset long, length long, type string, sha256 string, media binary").withColumnRenamed("id", id_col)
@@ -363,7 +366,10 @@ def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            told = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], names)
 
     kept = bounded(stored).select(F.col(id_col).alias("id"), "n_bytes", "media", "declared")
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    columns = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, {columns}").withColumnRenamed("id", id_col)

@@ -2,7 +2,11 @@
 
 Archives travel as binary cells of tables, so that Spark alone touches the store: (archive_id, blob). A monolithic
 archive is one gzip member over all records. The normaliser inflates such a stream once, writes every record as a
-member of its own and returns the offset index beside the new archive; a reader then seeks single records.
+member of its own and returns the offset index beside the new archive; a reader then seeks single records, and follows a
+revisit to the response that it refers to. export_archives() and import_archives() write and read archives as files, each
+with its index as a sidecar file.
+
+A record's id is made of its page's, so records of equal or null page ids share theirs.
 
 Of records with equal payloads of MIN_REVISIT bytes and more, that with the smallest id is the response and the
 others revisit it; rows that share the smallest id are all responses. Null payloads are empty ones. Rows with a null
@@ -13,13 +17,15 @@ without rows. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -155,17 +161,18 @@ def sidecar(normalized: DataFrame) -> DataFrame:
     return normalized.select("archive_id", F.explode("cdx").alias("x")).select("archive_id", "x.*")
 
 
-def read_pages(normalized: DataFrame) -> DataFrame:
-    """Each record, found by its offset and inflated alone; a response's payload is hashed anew and held against its header."""
+def read_records(normalized: DataFrame) -> DataFrame:
+    """(page_id, size, digest, record_type, refers_to) of each record, found by its offset and inflated alone. A response's size and digest are those of its bytes, held against its header; a revisit has the digest that it claims, and no size."""
 
     def page(one: bytes) -> tuple:
         cut = one.find(b"\r\n\r\n")
         h, block = headers(one[:cut]), one[cut + 4 : -4]
         body = block[block.find(b"\r\n\r\n") + 4 :]
-        digest = h["warc-payload-digest"].removeprefix("sha256:")
-        size = int(headers(block[: block.find(b"\r\n\r\n")])["content-length"])
-        if h["warc-type"] == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != size):
-            raise ValueError(f"damaged payload in {h['warc-record-id']}")
+        digest, size = h["warc-payload-digest"].removeprefix("sha256:"), None
+        if h["warc-type"] == "response":
+            size = len(body)
+            if hashlib.sha256(body).hexdigest() != digest or size != int(headers(block[: block.find(b"\r\n\r\n")])["content-length"]):
+                raise ValueError(f"damaged payload in {h['warc-record-id']}")
         number = lambda x: None if x in (None, "null") else int(x)
         of = lambda k: number(h[k][len("<urn:x-page:") : -1]) if k in h else None
         return of("warc-record-id"), size, digest, h["warc-type"], of("warc-refers-to")
@@ -175,9 +182,69 @@ def read_pages(normalized: DataFrame) -> DataFrame:
             for blob, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = [page(zlib.decompress(blob[x["offset"] : x["offset"] + x["length"]], 31)) for x in index]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "size", "digest", "record_type", "refers_to"])
+
+    return normalized.select("blob", "cdx").mapInArrow(run, "page_id long, size long, digest string, record_type string, refers_to long")
+
+
+def read_pages(normalized: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): a revisit's payload is that of the response it refers to; one that leads nowhere raises."""
+    records = materialize(read_records(normalized), "warc-records")
+    own = records.filter("record_type = 'response'")
+    asked = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("at"), F.col("digest").alias("claimed")).distinct()
+    # Rows that share the smallest id are all responses, of equal payload: one stands for them.
+    target = own.join(asked, (F.col("page_id") == F.col("at")) & (F.col("digest") == F.col("claimed"))).groupBy("at", "claimed").agg(F.min("size").alias("payload_bytes"), F.min("digest").alias("payload_digest"))
+    lost = F.raise_error(F.concat(F.lit("no such response: "), F.col("refers_to").cast("string")))
+    met = records.filter("record_type = 'revisit'").join(target, (F.col("refers_to") == F.col("at")) & (F.col("digest") == F.col("claimed")), "left")
+    met = met.select("page_id", F.coalesce("payload_bytes", lost.cast("long")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return own.select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to").unionByName(met)
+
+
+def _store(folder: str) -> tuple[object, str]:
+    """The file system of a folder, by its scheme, and the folder's path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+
+
+def export_archives(normalized: DataFrame, folder: str) -> DataFrame:
+    """Writes each archive as <id>.warc.gz and its index as <id>.cdxj into a folder that all executors reach by its scheme; (archive_id, bytes, records), on which the writing depends.
+
+    A file appears under its name only when it is whole, and a task that runs again writes the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
+        store.create_dir(base, recursive=True)
+
+        def put(name: str, data: bytes) -> None:
+            part = f"{base}/_{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as out:
+                out.write(data)
+            store.move(part, f"{base}/{name}")
+
+        for batch in batches:
+            for name, blob, index in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                lines = "".join(json.dumps({"record_id": x["record_id"], "type": x["type"], "offset": x["offset"], "length": x["length"]}) + "\n" for x in index)
+                put(f"{name}.cdxj", lines.encode())
+                put(f"{name}.warc.gz", blob)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(blob)]), pa.array([len(index)])], ["archive_id", "bytes", "records"])
+
+    return normalized.select("archive_id", "blob", "cdx").mapInArrow(run, "archive_id string, bytes long, records long")
+
+
+def import_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(archive_id, blob) of the archives in a folder, monolithic or not, for normalize(); files that are not whole yet have another name."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    name = F.regexp_extract("path", r"([^/]+)\.warc\.gz$", 1)
+    return files.filter(~name.startswith("_")).select(name.alias("archive_id"), F.col("content").alias("blob"))
+
 
-    return normalized.select("blob", "cdx").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
+    """(archive_id, record_id, type, offset, length) of the sidecar files in a folder."""
+    lines = spark.read.option("pathGlobFilter", "*.cdxj").text(folder).withColumn("path", F.input_file_name())
+    x = F.from_json("value", "record_id string, type string, offset long, length long").alias("x")
+    return lines.select(F.regexp_extract("path", r"([^/]+)\.cdxj$", 1).alias("archive_id"), x).select("archive_id", "x.*")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
