@@ -64,6 +64,8 @@ def fetch(corpus: DataFrame, anchors: list[str], max_tokens: int | None = T.MAX_
         kept = [rows[i]["ordinal"] for i in fill([(str(r["ordinal"]), r["tokens"], False) for r in rows], max_tokens, 0)]
         met = met.filter(F.col("ordinal").isin(kept))
     query = anchor(F.col("path"), F.col("start_line"), F.col("end_line"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("symbol", "kind")]
+    plain = [F.array().cast("array<bigint>").alias("match_lines"), F.lit(False).alias("is_declaration"), F.lit(0).alias("depth")]
     return met.orderBy("ordinal").select(
-        "path", "start_line", "end_line", F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("kind"), F.array().cast("array<bigint>").alias("match_lines"), F.lit(False).alias("is_declaration"), F.lit(0).alias("depth"), query.alias("query"), "tokens", F.lit(0.0).alias("score"), "text"
+        "path", "start_line", "end_line", *none, *plain, query.alias("query"), "tokens", F.lit(0.0).alias("score"), "text"
     )
