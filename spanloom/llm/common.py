@@ -79,6 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def matrix(cells: pa.Array, kind: type) -> np.ndarray:
@@ -89,6 +90,13 @@ def matrix(cells: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(cells), -1)
 
 
+def views(cells: pa.Array, kind: type) -> list[np.ndarray]:
+    """Each binary cell as numbers, not copied."""
+    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)
+    return [data[a:b].view(kind) for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
 def source_key(source: Column) -> Column:
     """A non-null key that keeps a null source apart from every string."""
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))

@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices, written
+from .common import materialize, release, slices, views, written
 from .simhash import components, links, majority, shingle_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Members of a bucket that one task pairs, and rounds before the pairs that remain are sought.
-BLOCK, ROUNDS = 512, 2
+BLOCK, ROUNDS = 256, 2
 #: Bits of the fingerprints that rule pairs out, and how many of them may differ.
 WIDE, BUDGET = 256, 96
 #: One document in so many is sampled for common shingles; so many are remembered, each met so often in the sample.
@@ -132,7 +132,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            a, b = ([np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("a", "b"))
+            a, b = (views(batch.column(c), np.int64) for c in ("a", "b"))
             yield batch.select(["u", "v"]).filter(pa.array([similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
     whole = _sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs)
@@ -241,13 +241,12 @@ def _other_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, block: i
                     yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(kept), pa.int64()) for x in (token, a, b)), *(kept.field(c) for c in MEMBER)], [*keys, *MEMBER])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8):
+        for batch in slices(batches, 1):
             u, v = [], []
             for token, a, b, cell in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
                 rows = cell.values
-                node, held = rows.field("node").to_numpy(), rows.field("s")
-                sets = [np.frombuffer(x, np.int64) for x in held.to_pylist()]
-                for i, k in similar_links(_bucket(rows, token, a, b), rows.field("root").to_numpy(), sets):
+                node = rows.field("node").to_numpy()
+                for i, k in similar_links(_bucket(rows, token, a, b), rows.field("root").to_numpy(), views(rows.field("s"), np.int64)):
                     u.append(node[i])
                     v.append(node[k])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])

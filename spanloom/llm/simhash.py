@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize, release, slices, stored, written
 
 BITS, BLOCKS = 64, 5
-#: Fingerprints that one trie may hold.
-BUCKET = 1024
+#: Fingerprints that one trie may hold, and pairs of leaves below two nodes that are compared at once.
+BUCKET, LEAF = 1024, 256
 
 
 def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -86,7 +86,7 @@ def trie_links(prints: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
     stack = [(0, n, 0, n, BITS - 1, 0)] if n > 1 else []
     while stack:
         a, b, c, d, bit, errors = stack.pop()
-        if bit < 0 or (b - a) * (d - c) <= 4096:
+        if bit < 0 or (b - a) * (d - c) <= LEAF:
             near = np.bitwise_count(prints[a:b, None] ^ prints[None, c:d]) <= budget
             for i, k in zip(*np.nonzero(near), strict=True):
                 if a + i < c + k:
