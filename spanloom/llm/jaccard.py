@@ -251,9 +251,18 @@ def _other_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, block: i
                     v.append(node[k])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    sizes = members.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    live = members.join(sizes.select("token", F.ceil(F.col("size") / block).cast("long").alias("parts")), "token")
-    live = live.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # A bucket's rows of one group need no pairing among themselves: their blocks meet those of the others alone.
+    ends = members.groupBy("token").agg(F.min("root").alias("main"), F.max("root").alias("hi")).filter("main < hi").drop("hi")
+    live = members.join(ends, "token").withColumn("own", F.col("root") == F.col("main"))
+    sizes = live.groupBy("token").agg(F.count_if("own").alias("mains"), F.count_if(~F.col("own")).alias("others"))
+    of = lambda c: F.ceil(F.col(c) / block).cast("long")
+    small = F.col("mains") + F.col("others") <= block
+    live = live.join(sizes.select("token", small.alias("small"), of("mains").alias("pm"), of("others").alias("po")), "token")
+    zero, deal = F.lit(0).cast("long"), F.xxhash64("node")
+    part = F.when(F.col("small"), zero).when(F.col("own"), F.pmod(deal, F.col("pm"))).otherwise(F.col("pm") + F.pmod(deal, F.col("po")))
+    first = F.when(F.col("own") & ~F.col("small"), F.col("pm")).otherwise(zero)
+    last = F.when(F.col("small"), zero).otherwise(F.col("pm") + F.col("po") - 1)
+    live = live.withColumn("part", part).withColumn("other", F.explode(F.sequence(first, last)))
     live = live.join(nodes.select("node", *LOW), "node").select("token", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), *MEMBER)
     rows = live.groupBy(*keys).agg(F.collect_list(F.struct(*MEMBER)).alias("rows"))
     words = ", ".join(f"{c} long" for c in (*SKETCH, *LOW))
