@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release, written
 
 MIN_REVISIT = 100
 #: Raw bytes of records in an archive; it ends with the record that reaches this.
@@ -249,5 +249,9 @@ def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """pages written to monolithic archives, these normalised, and every record read back by the sidecar index."""
+    spark, start = pages.sparkSession, written()
     archives = materialize(write_archives(with_revisits(pages)), "warc-monolithic")
-    return read_pages(materialize(normalize(archives), "warc-members"))
+    release(spark, start, archives)
+    members = materialize(normalize(archives), "warc-members")
+    release(spark, start, members)
+    return read_pages(members)
