@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, slices
 
 UNKNOWN = "application/octet-stream"
 #: Samples in a row of the stored images; payloads are multiples of it.
@@ -290,33 +290,41 @@ def decode(media: bytes, kind: str) -> bytes:
 
 
 KINDS = ("audio/wav", "image/bmp", "image/png")
-#: Bytes of media in a batch that goes back to Spark.
+#: Bytes of media in a batch that goes on to Spark or is read back.
 BATCH = 16 << 20
 
 
-def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str = "image/png") -> DataFrame:
-    """A media column from texts: (id, n_bytes, declared, media). The payload's digest picks the format, so that the declared type is wrong for some."""
+def _stored(batches: Iterator[pa.RecordBatch], declared: str) -> Iterator[pa.RecordBatch]:
+    """(id, n_bytes, declared, media) of batches (id, text), in batches of bounded bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            ids, sizes, media = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sizes, pa.int64()), pa.array([declared] * len(ids), pa.string()), pa.array(media, pa.binary())], ["id", "n_bytes", "declared", "media"])
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        ids, sizes, media = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sizes, pa.int64()), pa.array([declared] * len(ids), pa.string()), pa.array(media, pa.binary())], ["id", "n_bytes", "declared", "media"])
 
-        for batch in batches:
-            rows, held, id_type = [], 0, batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                payload = raw + b"\xff" * (-len(raw) % ROW if raw else ROW)
-                rows.append((key, len(raw), encode(payload, KINDS[hashlib.sha256(payload).digest()[0] % 3])))
-                held += len(rows[-1][2])
-                if held > BATCH:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-            if rows:
+    for batch in batches:
+        rows, held, id_type = [], 0, batch.schema.field(0).type
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            payload = raw + b"\xff" * (-len(raw) % ROW if raw else ROW)
+            rows.append((key, len(raw), encode(payload, KINDS[hashlib.sha256(payload).digest()[0] % 3])))
+            held += len(rows[-1][2])
+            if held > BATCH:
                 yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """(id, text) of docs, and the type of id."""
     kept = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_bytes long, declared string, media binary").withColumnRenamed("id", id_col)
+    return kept, kept.schema["id"].dataType.simpleString()
+
+
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str = "image/png") -> DataFrame:
+    """A media column from texts: (id, n_bytes, declared, media). The payload's digest picks the format, so that the declared type is wrong for some."""
+    kept, kind = _texts(docs, id_col, text_col)
+    return kept.mapInArrow(lambda batches: _stored(batches, declared), f"id {kind}, n_bytes long, declared string, media binary").withColumnRenamed("id", id_col)
 
 
 def sniff_column(df: DataFrame, id_col: str, media_col: str = "media", declared_col: str = "declared") -> DataFrame:
@@ -352,24 +360,36 @@ def carve(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, offset long, length long, type string, sha256 string, media binary").withColumnRenamed("id", id_col)
 
 
+TOLD = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, *TOLD) of batches (id, n_bytes, declared, media)."""
+    for batch in batches:
+        out = []
+        for declared, media in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x = sniff(media, declared)
+            payload = decode(media[: x.length], x.actual)
+            samples = np.frombuffer(payload, np.uint8)
+            feature = f"{x.actual};samples={len(samples)};mean={samples.mean():.4f};max={samples.max()};corrected={int(x.corrected)};embedded={len(x.carved)}"
+            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        told = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+        names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], names)
+
+
 def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The digests and features of a stored media column: the bytes are sniffed, carved to the length found, and decoded by the type found."""
+    kept = bounded(stored).select(F.col(id_col).alias("id"), "n_bytes", "declared", "media")
+    return kept.mapInArrow(_told, f"id {kept.schema['id'].dataType.simpleString()}, {TOLD}").withColumnRenamed("id", id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for media, declared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x = sniff(media, declared)
-                payload = decode(media[: x.length], x.actual)
-                samples = np.frombuffer(payload, np.uint8)
-                feature = f"{x.actual};samples={len(samples)};mean={samples.mean():.4f};max={samples.max()};corrected={int(x.corrected)};embedded={len(x.carved)}"
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            told = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], names)
-
-    kept = bounded(stored).select(F.col(id_col).alias("id"), "n_bytes", "media", "declared")
-    columns = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, {columns}").withColumnRenamed("id", id_col)
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str = "image/png") -> DataFrame:
+    """read_back(store_texts(docs)) in one Python stage: the media column's batches are read where they were made.
+
+    Nothing of the media goes through the JVM, a task has one worker, not two, and this holds the media of few rows at once.
+    """
+    kept, kind = _texts(docs, id_col, text_col)
+    return kept.mapInArrow(lambda batches: _told(_stored(slices(batches), declared)), f"id {kind}, {TOLD}").withColumnRenamed("id", id_col)

@@ -29,7 +29,7 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.store_texts(_read(spark, sf_dir, "documents")))
+    return media.round_trip(_read(spark, sf_dir, "documents"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

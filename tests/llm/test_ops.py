@@ -154,6 +154,16 @@ def test_media_round_trip(spark):
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
 
 
+def test_media_in_one_stage(spark, tmp_path):
+    """The query's media are read where they were made: one Python stage, with the rows of the two operators."""
+    docs = table(spark)
+    got = media.round_trip(docs)
+    assert sorted(map(str, rows_of(got))) == sorted(map(str, rows_of(media.read_back(media.store_texts(docs)))))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.op3_media_columns(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("kind", media.KINDS)
 def test_sniffing(kind):
     whole = media.encode(bytes(range(256)) * 9, kind)
